@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media
+from . import bpe, chat, media, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = urlfilter.dated_captures(table(spark, sf_dir, "pages"))
+    return urlfilter.filter_captures(captures, urlfilter.dated_entries(captures))
+
+
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.read_audio(media.store_audio(table(spark, sf_dir, "documents")))
     return rows.select(
@@ -27,8 +36,8 @@ def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_mpeg_audio, op8_bpe_segment_tree)}
+    return {f.__name__: f for f in (op4_temporal_url_lists, op5_perspective_rotation, op6_mpeg_audio, op8_bpe_segment_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_temporal_url_lists": urlfilter.ORACLE, "op5_perspective_rotation": chat.ORACLE}
