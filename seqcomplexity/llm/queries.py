@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, urlfilter
+from . import bpe, chat, jaccard, media, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op4_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = urlfilter.dated_captures(table(spark, sf_dir, "pages"))
     return urlfilter.filter_captures(captures, urlfilter.dated_entries(captures))
@@ -36,8 +40,8 @@ def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_temporal_url_lists, op5_perspective_rotation, op6_mpeg_audio, op8_bpe_segment_tree)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_temporal_url_lists, op5_perspective_rotation, op6_mpeg_audio, op8_bpe_segment_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_temporal_url_lists": urlfilter.ORACLE, "op5_perspective_rotation": chat.ORACLE}
+    return {"op3_ngram_jaccard_join": jaccard.ORACLE, "op4_temporal_url_lists": urlfilter.ORACLE, "op5_perspective_rotation": chat.ORACLE}
