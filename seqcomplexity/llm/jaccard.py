@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, connected_components, flat_bytes, materialize, utf8
 
@@ -313,11 +314,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row: documents linked by a Jaccard similarity of ``num / den`` or more.
+    """``doc_id, n_shingles, component_id, set_id`` for every row: documents linked by a Jaccard similarity of ``num / den`` or more.
 
     ``component_id`` is the smallest id reachable by links. A document with fewer than ``words`` words is one n-gram;
     null, empty and blank texts have an empty set, link with nothing and are their own component. Repeated rows and ids
-    are each returned; a row with a null id takes part, and its component is null if no other id is reachable. Other
+    are each returned (``set_id`` tells different sets apart); a row with a null id takes part, and its component is null if no other id is reachable. Other
     columns are ignored; an empty table gives an empty table. Sets are kept as 64-bit hashes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
@@ -397,17 +398,50 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     grouped = nodes.groupBy("whole").agg(F.min("least").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
     names = nodes.select("node", "whole").join(grouped, "whole").select("node", "component_id")
     out = described.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component: that of the smallest id. Rows with a null id stay."""
-    dropped = components.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    kept = docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
-    twice = components.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    single = kept.join(twice.select(F.col("doc_id").alias("twice_id")), docs["doc_id"] == F.col("twice_id"), "left_anti")
-    repeated = kept.join(twice.select(F.col("doc_id").alias("twice_id")), docs["doc_id"] == F.col("twice_id"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("set_id"))
+
+
+def keep_one(docs: DataFrame, components: DataFrame, words: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component of ``jaccard_components(docs, words)``: that of the smallest id. Rows with a null id stay.
+
+    Ids that repeat are told apart by their rows' sets. A Bloom filter lets rows that surely stay pass without a shuffle."""
+    per_id = components.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    touched = materialize(per_id.where("rows > 1 or goes").select("doc_id", (F.col("rows") > 1).alias("repeats")), "touched")
+    count = touched.count()
+    if not count:
+        return docs
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(touched, count))
+
+    def sift(met: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = bloom.value
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+                spots = _spots(ids.fill_null(0).to_numpy(), len(bits) * 8)
+                hit = np.logical_and.reduce([bits[s >> 3] >> (s & 7).astype(np.uint8) & 1 > 0 for s in spots]) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == met))
+        return run
+
+    clear, met = docs.mapInArrow(sift(False), docs.schema), docs.mapInArrow(sift(True), docs.schema)
+    marked = met.join(touched.select(F.col("doc_id").alias("touched_id"), "repeats"), met["doc_id"] == F.col("touched_id"), "left")
+    out = clear.unionByName(marked.where("touched_id is null").select(*docs.columns))
+    if touched.where("repeats").isEmpty():
+        return out
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).fill_null("")
+            for _, sets in _sets(iter([pa.RecordBatch.from_arrays([texts, texts], ["doc_id", "text"])]), words):
+                part, batch = batch.slice(0, len(sets)), batch.slice(len(sets))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], [*part.schema.names, "set_of_row"])
+
+    repeated = marked.where("repeats").select(*docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField("set_of_row", T.LongType())])
+    kept = components.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"), "set_id").distinct()
+    named = repeated.mapInArrow(name, schema)
+    named = named.join(kept, (named["doc_id"] == F.col("kept_id")) & F.col("set_of_row").eqNullSafe(F.col("set_id")), "left_semi")
+    return out.unionByName(named.dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 ORACLE = r"""

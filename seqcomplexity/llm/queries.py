@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100).drop("set_id")
 
 
 def op4_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,9 @@ def test_against_brute_force(spark, monkeypatch, seed, words, num, den, tile):
     docs = spark.createDataFrame([Row(doc_id=d, text=t, n="clash", node=1, key=2) for d, t in rows], "doc_id long, text string, n string, node int, key int")
     found = jaccard.jaccard_components(docs, words, num, den).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute(rows, words, num, den)
-    kept = jaccard.keep_one(docs, jaccard.jaccard_components(docs, words, num, den)).collect()
+    kept = jaccard.keep_one(docs, jaccard.jaccard_components(docs, words, num, den), words).collect()
     assert sorted({c for _, _, c in brute(rows, words, num, den)} - {None}) == sorted(r.doc_id for r in kept if r.doc_id is not None)
+    assert sum(r.doc_id is None for r in kept) == 1
 
 
 def test_long_text_and_empty_table(spark):
