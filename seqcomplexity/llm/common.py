@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS: list[np.ndarray] = []
 #: Target size of one unit of Python work, in bytes of text.
 CHUNK_BYTES = 1 << 20
 
@@ -98,3 +101,91 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * M1
+    x = x ^ (x >> np.uint64(27))
+    x = x * M2
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2 ** 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 21)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def bloom_filter(ids: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter over the long column ``doc_id``: 16 bits an id, 128 kB to 32 MB, built by page."""
+    bits = 1 << min(28, max(20, (16 * max(count, 1) - 1).bit_length()))
+    page = 1 << 19
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for spot in _spots(batch.column(0).drop_null().to_numpy(), bits):
+                np.bitwise_or.at(seen, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
+        parts = [(i, seen[i * page // 8:(i + 1) * page // 8]) for i in range(bits // page)]
+        parts = [(i, p.tobytes()) for i, p in parts if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], ["page", "bits"])
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        parts = np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in table.column("bits").to_pylist()])
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([parts.tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for i, part in ids.select("doc_id").mapInArrow(local, "page long, bits binary").groupBy("page").applyInArrow(merge, "page long, bits binary").collect():
+        out[i * page // 8:(i + 1) * page // 8] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def _spots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(BASE))
+    return [((h >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 17, 35)]
+
+
+def bloom_hits(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which long ids may be in the filter; null is not."""
+    spots = _spots(ids.fill_null(0).to_numpy(zero_copy_only=False), len(bits) * 8)
+    return np.logical_and.reduce([bits[s >> 3] >> (s & 7).astype(np.uint8) & 1 > 0 for s in spots]) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def sifted(docs: DataFrame, touched: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts by a Bloom filter over the column ``doc_id`` of ``touched``: rows whose id surely isn't there, and the rest."""
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(touched, count))
+
+    def part(met: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+                yield batch.filter(pa.array(bloom_hits(ids, bloom.value) == met))
+
+        return run
+
+    return docs.mapInArrow(part(False), docs.schema), docs.mapInArrow(part(True), docs.schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Regroup sorted batches so that rows that agree in the first columns (integers) stand in one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in range(columns)], 1)
+        new = np.flatnonzero((keys != keys[-1]).any(1))
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if held and (cut or last != tuple(keys[-1])):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+        last = tuple(keys[-1])
+    if held:
+        yield pa.Table.from_batches(held)

@@ -14,6 +14,7 @@ that components lack. Equal sets are one node from the start.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, connected_components, flat_bytes, materialize, utf8
+from .common import BASE, M1, M2, bloom_filter, bloom_hits, chunks, connected_components, flat_bytes, materialize, mix, powers, runs, sifted, utf8
 
 GROUPS = 64
 #: Points of an R-tree page, and children of an inner node.
@@ -32,48 +33,31 @@ TILE = 2048
 #: N-grams whose counts steer the order: a bound on what is broadcast (16 bytes each).
 ORDERED_LAST = 1 << 16
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_POWERS: list[np.ndarray] = []
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * _M1
-    x = x ^ (x >> np.uint64(27))
-    x = x * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of documents laid end to end: runs of bytes other than white space (space, 9 to 13)."""
+    space = _SPACE[raw]
+    first = np.zeros(len(raw) + 1, bool)
+    first[offsets] = True
+    starts = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]])[:len(raw)] | first[:-1]))
+    ends = np.flatnonzero(~space & (np.concatenate([space[1:], [True]])[:len(raw)] | first[1:])) + 1
+    return starts, ends
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of documents laid end to end, and the offset of each document's first word (and the end).
-
-    Words are runs of bytes other than white space (space, 9 to 13), with A to Z lowered."""
+    """Hashes of the words, with A to Z lowered, and the number of each document's first word (and of the end)."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = _LOWER[raw]
-    space = _SPACE[raw]
-    first = np.zeros(n + 1, bool)
-    first[offsets] = True
-    starts = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) | first[:-1]))
-    ends = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | first[1:])) + 1
-    power, inverse = _powers(n + 1)
+    starts, ends = word_bounds(raw, offsets)
+    power, inverse = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, offsets)
 
 
@@ -83,7 +67,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.nd
     if len(hashes) >= words:
         grams = np.zeros(len(hashes) - words + 1, np.uint64)
         for i in range(words):
-            grams = (grams + hashes[i:i + len(grams)]) * _M2 + np.uint64(i + 1)
+            grams = (grams + hashes[i:i + len(grams)]) * M2 + np.uint64(i + 1)
         grams = mix(grams)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -92,7 +76,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.nd
         elif b > a:
             one = np.zeros(1, np.uint64)
             for i in range(a, b):
-                one = (one + hashes[i:i + 1]) * _M1 + np.uint64(b - a)
+                one = (one + hashes[i:i + 1]) * M1 + np.uint64(b - a)
             out.append(mix(one))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -109,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Ar
 
 def _node(one: np.ndarray) -> int:
     """A set's 64-bit name."""
-    total = np.uint64((int(one.sum(dtype=np.uint64)) + len(one) * _BASE) % (1 << 64))
+    total = np.uint64((int(one.sum(dtype=np.uint64)) + len(one) * BASE) % (1 << 64))
     return int(mix(np.array([total ^ np.bitwise_xor.reduce(mix(one + np.uint64(7)))], np.uint64)).view(np.int64)[0])
 
 
@@ -162,7 +146,7 @@ class CountRTree:
         return self.order[at]
 
 
-def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows ``key, n, node`` in order, the distinct members of keys with several, each with the key's first member."""
     left = np.zeros((0, 3), np.int64)
 
@@ -207,6 +191,18 @@ def _more(rows: np.ndarray, pivot: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 0].copy(), rows[:, 1].copy(), rows[:, 2].copy(), np.full(len(rows), pivot))], ["key", "n", "node", "pivot"])
 
 
+def _bounded(num: int, den: int):
+    """From rows ``a, b, n_a, n_b, points_a, points_b``, the pairs whose sizes and summed minima allow the similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(c).to_numpy() for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in (4, 5))
+            fits = (m * den >= n * num) & (n * den >= m * num) & (np.minimum(x, y).sum(1, dtype=np.int64) * (num + den) >= num * (m + n))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], ["a", "b"])
+
+    return run
+
+
 def _tree_pairs(num: int, den: int):
     """From rows ``key, low, high, tile, node, component, n, points`` in order of (key, low, high), pairs across components and tiles that pass the R-tree."""
     def pairs(tile: np.ndarray, node: np.ndarray, component: np.ndarray, size: np.ndarray, points: np.ndarray, apart: bool) -> tuple[list, list]:
@@ -222,16 +218,25 @@ def _tree_pairs(num: int, den: int):
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
         def flush(table: pa.Table) -> pa.RecordBatch:
             keys = [table.column(c).to_numpy() for c in range(3)]
             cuts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]), [True]]))
             tile, node, component, size = (table.column(c).to_numpy() for c in range(3, 7))
-            points = np.frombuffer(b"".join(table.column(7).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64)
+            points = np.frombuffer(b"".join(table.column(7).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
             a: list[int] = []
             b: list[int] = []
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            starts, lengths = cuts[:-1], np.diff(cuts)
+            leaf = (lengths <= PAGE) & (keys[1][starts] == keys[2][starts])
+            for m in np.unique(lengths[leaf]).tolist():  # trees of a single page, all of a size at once
+                i, j = np.triu_indices(m, 1)
+                for at in range(0, len(own := starts[leaf & (lengths == m)]), step := max(1, 20_000 // max(1, len(i)))):
+                    x, y = (own[at:at + step, None] + i).ravel(), (own[at:at + step, None] + j).ravel()
+                    ok = (component[x] != component[y]) & (size[x] * den >= size[y] * num) & (size[y] * den >= size[x] * num)
+                    x, y = x[ok], y[ok]
+                    ok = np.minimum(points[x], points[y]).sum(1) * (num + den) >= num * (size[x] + size[y])
+                    a += node[x[ok]].tolist()
+                    b += node[y[ok]].tolist()
+            for s, e in zip(starts[~leaf].tolist(), (starts + lengths)[~leaf].tolist()):
                 apart = keys[1][s] != keys[2][s]
                 if e - s > 1 and (component[s:e] != component[s]).any() and not (apart and (tile[s:e] == tile[s]).all()):
                     x, y = pairs(tile[s:e], node[s:e], component[s:e], size[s:e], points[s:e], apart)
@@ -241,76 +246,52 @@ def _tree_pairs(num: int, den: int):
             both = np.unique(np.stack([np.minimum(a_, b_), np.maximum(a_, b_)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
-            end = tuple(keys[-1])
-            new = np.flatnonzero((keys != keys[-1]).any(1))
-            cut = int(new[-1]) + 1 if len(new) else 0
-            if held and (cut or last != end):
-                head = cut
-                if not cut:
-                    yield flush(pa.Table.from_batches(held))
-                    held = []
-                else:
-                    held.append(batch.slice(0, head))
-                    yield flush(pa.Table.from_batches(held))
-                    held = []
-            elif cut:
-                yield flush(pa.Table.from_batches([batch.slice(0, cut)]))
-            held.append(batch.slice(cut))
-            last = end
-        if held:
-            yield flush(pa.Table.from_batches(held))
+        for table in runs(batches, 3):
+            yield flush(table)
 
     return run
 
 
-def _bloom(ids: DataFrame, count: int) -> np.ndarray:
-    """A Bloom filter over the long column ``doc_id``: 16 bits an id, 128 kB to 32 MB, built by page."""
-    bits = 1 << min(28, max(20, (16 * max(count, 1) - 1).bit_length()))
-    page = 1 << 19
+def _verified(pairs: DataFrame, rows: DataFrame, points: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` of set names whose sets reach the similarity, written out.
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for spot in _spots(batch.column(0).drop_null().to_numpy(), bits):
-                np.bitwise_or.at(seen, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
-        parts = [(i, seen[i * page // 8:(i + 1) * page // 8]) for i in range(bits // page)]
-        parts = [(i, p.tobytes()) for i, p in parts if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], ["page", "bits"])
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        parts = np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in table.column("bits").to_pylist()])
-        return pa.table({"page": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([parts.tobytes()], pa.binary())})
-
-    out = np.zeros(bits // 8, np.uint8)
-    for i, part in ids.select("doc_id").mapInArrow(local, "page long, bits binary").groupBy("page").applyInArrow(merge, "page long, bits binary").collect():
-        out[i * page // 8:(i + 1) * page // 8] = np.frombuffer(part, np.uint8)
-    return out
-
-
-def _spots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(_BASE))
-    return [((h >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 17, 35)]
+    Only texts that stand in a pair are read again: a Bloom filter over their ids passes them, their sets' names tell
+    exactly. They travel deflated, which takes a quarter of the room of their sets."""
+    pairs = materialize(pairs, "pairs")
+    names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = materialize(points.join(names, "node", "left_semi").select("node", "doc_id"), "chosen")
+    count = chosen.count()
+    bloom = pairs.sparkSession.sparkContext.broadcast(bloom_filter(chosen, count))
 
+    def regain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bloom.value
+        for batch in batches:
+            wanted = bloom_hits(batch.column(0), bits) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(wanted))
+            texts = batch.column(1).cast(pa.binary())
+            at = 0
+            for ids, sets in _sets(iter([batch]), words):
+                packed = [zlib.compress(t, 1) for t in texts.slice(at, len(sets)).to_pylist()]
+                at += len(sets)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "node", "packed"])
+
+    again = rows.mapInArrow(regain, "doc_id long, node long, packed binary").alias("r")
+    same = (F.col("r.node") == F.col("c.node")) & F.col("r.doc_id").eqNullSafe(F.col("c.doc_id"))
+    texts = materialize(again.join(chosen.hint("shuffle_hash").alias("c"), same, "left_semi").dropDuplicates(["node"]).select("node", "packed"), "texts")
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the similarity."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
+            for i, j in chunks(np.array([len(x) for c in (2, 3) for x in batch.column(c).to_pylist()]).reshape(2, -1).sum(0) * 4):
+                both = [zlib.decompress(x) for c in (2, 3) for x in batch.column(c).slice(i, j - i).to_pylist()]
+                sets = shingle_sets(np.frombuffer(b"".join(both), np.uint8), np.cumsum([0, *map(len, both)]), words)
+                for p, q in zip(sets[:j - i], sets[j - i:]):
+                    met = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(den * met >= num * (len(p) + len(q) - met))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left, right = texts.select(F.col("node").alias("a"), F.col("packed").alias("x")), texts.select(F.col("node").alias("b"), F.col("packed").alias("y"))
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,41 +333,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     described = materialize(rows.mapInArrow(describe, "doc_id long, n long, node long, keys array<long>, points binary"), "shingles")
     keyed = described.where("keys is not null").select(F.explode("keys").alias("key"), "n", "node")
-    members = materialize(keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_pivots, "key long, n long, node long, pivot long"), "members")
+    members = materialize(keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(pivots, "key long, n long, node long, pivot long"), "members")
 
-    # One document for each set that shares a bucket; its set is read again from its text.
     shared = members.select("node").distinct()
-    chosen = materialize(described.where("keys is not null").join(shared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("points").alias("points")), "chosen")
-    count = chosen.count()
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(chosen, count))
-
-    def regain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
-        for batch in batches:
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            spots = _spots(batch.column(0).fill_null(0).to_numpy(), len(bits) * 8)
-            wanted = np.logical_and.reduce([bits[s >> 3] >> (s & 7).astype(np.uint8) & 1 > 0 for s in spots]) | ~known
-            for ids, sets in _sets(iter([batch.filter(pa.array(wanted))]), words):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "node", "grams"])
-
-    again = rows.mapInArrow(regain, "doc_id long, node long, grams binary").alias("r")
-    same = (F.col("r.node") == F.col("c.node")) & F.col("r.doc_id").eqNullSafe(F.col("c.doc_id"))
-    sets = materialize(again.join(chosen.select("node", "doc_id").alias("c"), same, "left_semi").dropDuplicates(["node"]).select("node", "grams"), "sets")
+    points = described.where("keys is not null").join(shared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("points").alias("points"))
+    points = materialize(points, "points")
 
-    fits = (F.col("n") * den >= F.col("pivot_n") * num) & (F.col("pivot_n") * den >= F.col("n") * num)
-    pivot_sizes = chosen.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
-    votes = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
-    best = votes.join(pivot_sizes, "pivot").where(fits).groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot"))
-    links = materialize(_verified(best.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, num, den), "links")
+    votes = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("votes"))
+    sides = [points.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("points").alias(f"points_{x}")) for x in ("a", "b")]
+    best = votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("b")).withColumnRenamed("node", "a")
+    near = best.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "points_a", "points_b").mapInArrow(_bounded(num, den), "a long, b long")
+    links = _verified(near, rows, points, words, num, den)
 
     first = materialize(connected_components(links, "a", "b"), "labels")
     labelled = members.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("m")).where("one <> other").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
     across = labelled.join(open_keys, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    across = across.join(chosen.select("node", "n", "points"), "node").select("key", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "component", "n", "points")
+    across = across.join(points.select("node", "n", "points"), "node").select("key", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "component", "n", "points")
     dealt = across.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    found = dealt.mapInArrow(_tree_pairs(num, den), "a long, b long").distinct()
-    more = materialize(_verified(found, sets, num, den), "links")
+    more = _verified(dealt.mapInArrow(_tree_pairs(num, den), "a long, b long").distinct(), rows, points, words, num, den)
 
     # Second components over the first: the names of first components are the nodes now.
     name = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -410,19 +375,7 @@ def keep_one(docs: DataFrame, components: DataFrame, words: int = 5) -> DataFram
     count = touched.count()
     if not count:
         return docs
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(touched, count))
-
-    def sift(met: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = bloom.value
-            for batch in batches:
-                ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-                spots = _spots(ids.fill_null(0).to_numpy(), len(bits) * 8)
-                hit = np.logical_and.reduce([bits[s >> 3] >> (s & 7).astype(np.uint8) & 1 > 0 for s in spots]) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(hit == met))
-        return run
-
-    clear, met = docs.mapInArrow(sift(False), docs.schema), docs.mapInArrow(sift(True), docs.schema)
+    clear, met = sifted(docs, touched, count)
     marked = met.join(touched.select(F.col("doc_id").alias("touched_id"), "repeats"), met["doc_id"] == F.col("touched_id"), "left")
     out = clear.unionByName(marked.where("touched_id is null").select(*docs.columns))
     if touched.where("repeats").isEmpty():

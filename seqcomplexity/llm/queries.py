@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, media, urlfilter
+from . import bpe, chat, jaccard, linededup, media, quality, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +35,20 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_temporal_url_lists, op5_perspective_rotation, op6_mpeg_audio, op8_bpe_segment_tree)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_temporal_url_lists, op5_perspective_rotation, op6_mpeg_audio, op7_fuzzy_line_dedup, op8_bpe_segment_tree, op9_weak_label_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
