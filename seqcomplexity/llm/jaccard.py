@@ -7,9 +7,9 @@ similarity share an n-gram among the first few of each (``n - ceil(t * n) + 1``)
 so frequent passages bring nothing together. Within each such bucket an R-tree over the points finds the pairs whose
 bound suffices, and the survivors are verified on the sets themselves.
 
-No link between different sets is lost, yet not every pair of a large group is looked at: first each set is verified
-against one pivot, and components are formed; then the R-trees look only for pairs across components, which can be all
-that components lack. Equal sets are one node from the start.
+No link between different sets is lost, yet not every pair of a large group is looked at: in a few rounds each set is
+verified against the partner of the largest bound in another component, and components merge; then the R-trees list all
+pairs across components, which are all that can be missing. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ GROUPS = 64
 PAGE = 16
 #: Members of a bucket in one tile; larger buckets are joined tile by tile.
 TILE = 2048
+#: Rounds in which every set is verified against its nearest partner, before all that is left.
+ROUNDS = 3
 #: N-grams whose counts steer the order: a bound on what is broadcast (16 bytes each).
 ORDERED_LAST = 1 << 16
 
@@ -146,59 +148,91 @@ class CountRTree:
         return self.order[at]
 
 
-def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ``key, n, node`` in order, the distinct members of keys with several, each with the key's first member."""
-    left = np.zeros((0, 3), np.int64)
+def members_of(tile: int):
+    """From rows ``key, n, node`` in order, the distinct members of keys with several: ``key, n, node, tile``, where ``tile`` counts runs of so many members."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, before = np.zeros((0, 3), np.int64), 0  # rows of the last key, and how many of its members went out
 
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        if len(rows):
-            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
-            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        def out(rows: np.ndarray, before: int) -> pa.RecordBatch:
+            new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+            starts = np.flatnonzero(new)
             sizes = np.diff(np.append(starts, len(rows)))
-            pivot = np.repeat(rows[starts, 2], sizes)
-            keep = np.repeat(sizes > 1, sizes)
-            rows, pivot = rows[keep], pivot[keep]
-        else:
-            pivot = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 0].copy(), rows[:, 1].copy(), rows[:, 2].copy(), pivot)], ["key", "n", "node", "pivot"])
+            place = np.arange(len(rows)) - np.repeat(starts, sizes)
+            place[:sizes[0]] += before
+            keep = np.repeat((sizes > 1) | ((starts == 0) & (before > 0)), sizes)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (rows[:, 0].copy(), rows[:, 1].copy(), rows[:, 2].copy(), place // tile)], ["key", "n", "node", "tile"])
 
-    carried = None  # the pivot of a key that goes on from earlier batches
-    for batch in batches:
-        rows = np.stack([c.to_numpy() for c in batch.columns], 1)
-        rows = np.concatenate([left, rows])
-        if not len(rows):
-            continue
-        cut = np.searchsorted(rows[:, 0], rows[-1, 0])
-        if carried is not None and rows[0, 0] == carried[0]:
-            stop = np.searchsorted(rows[:, 0], carried[0], "right")
-            if stop == len(rows):
-                yield _more(rows, carried[1])
-                left = rows[:0]
+        for batch in batches:
+            rows = np.concatenate([left, np.stack([c.to_numpy() for c in batch.columns], 1)])
+            if not len(rows):
                 continue
-            yield _more(rows[:stop], carried[1])
-            rows, cut, carried = rows[stop:], cut - stop, None
-        if cut:
-            yield out(rows[:cut])
-        left = rows[cut:]
-        if len(left) > 100_000:
-            yield out(left)
-            carried, left = (left[0, 0], left[0, 2]), left[:0]
-    if len(left):
-        yield _more(left, carried[1]) if carried is not None and left[0, 0] == carried[0] else out(left)
+            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if cut:
+                yield out(rows[:cut], before)
+                before = 0
+            left = rows[cut:]
+            if len(left) > 100_000:  # one more stays, to tell repeated rows
+                yield out(left[:-1], before or 1) if before == 0 else out(left[:-1], before)
+                before += len(left) - 1
+                left = left[-1:]
+        if len(left):
+            yield out(left, before)
+
+    return run
+
 
+def _small_pairs(starts: np.ndarray, lengths: np.ndarray, component: np.ndarray, size: np.ndarray, points: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows across components that pass the bound, with the bound, in many trees of a single page, all of a size at once."""
+    for m in np.unique(lengths).tolist():
+        own = starts[lengths == m]
+        i, j = np.triu_indices(m, 1)
+        step = max(1, 20_000 // max(1, len(i)))
+        for at in range(0, len(own) if m > 1 else 0, step):
+            x, y = (own[at:at + step, None] + i).ravel(), (own[at:at + step, None] + j).ravel()
+            ok = (component[x] != component[y]) & (size[x] * den >= size[y] * num) & (size[y] * den >= size[x] * num)
+            x, y = x[ok], y[ok]
+            bound = np.minimum(points[x], points[y]).sum(1)
+            ok = bound * (num + den) >= num * (size[x] + size[y])
+            yield x[ok], y[ok], bound[ok]
 
-def _more(rows: np.ndarray, pivot: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 0].copy(), rows[:, 1].copy(), rows[:, 2].copy(), np.full(len(rows), pivot))], ["key", "n", "node", "pivot"])
 
+def _columns(table: pa.Table, ints: int) -> tuple[list[np.ndarray], np.ndarray]:
+    points = np.frombuffer(b"".join(table.column(ints).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
+    return [table.column(c).to_numpy() for c in range(ints)], points
 
-def _bounded(num: int, den: int):
-    """From rows ``a, b, n_a, n_b, points_a, points_b``, the pairs whose sizes and summed minima allow the similarity."""
+
+def _nearest(num: int, den: int, keep_tiles: int):
+    """From rows ``key, tile, node, component, n, points`` in order of (key, tile): for every member of a tile the partner of
+    another component with the largest bound, as ``key, tile, node, partner, bound``. Members without a partner go, unless
+    their bucket may have more tiles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m, n = (batch.column(c).to_numpy() for c in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in (4, 5))
-            fits = (m * den >= n * num) & (n * den >= m * num) & (np.minimum(x, y).sum(1, dtype=np.int64) * (num + den) >= num * (m + n))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], ["a", "b"])
+        for table in runs(batches, 2):
+            (key, tile, node, component, size), points = _columns(table, 5)
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), [True]]))
+            starts, lengths = cuts[:-1], np.diff(cuts)
+            leaf = lengths <= PAGE
+            found = [(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([s, s])) for x, y, s in _small_pairs(starts[leaf], lengths[leaf], component, size, points, num, den)]
+            for s, m in zip(starts[~leaf].tolist(), lengths[~leaf].tolist()):
+                tree = CountRTree(points[s:s + m], size[s:s + m])
+                for i in range(s, s + m):
+                    hit = s + tree.query(points[i], size[i], num, den)
+                    hit = hit[component[hit] != component[i]]
+                    if len(hit):
+                        bound = np.minimum(points[hit], points[i]).sum(1)
+                        # Similarity by the bound, not the bound alone, lest large sets attract.
+                        best = np.argmax(bound / (size[hit] + size[i] - bound))
+                        found.append((np.array([i]), hit[best:best + 1], bound[best:best + 1]))
+            x, y, bound = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            score = bound / np.maximum(1, size[x] + size[y] - bound)
+            order = np.lexsort((node[y], score, x))
+            x, y, score = x[order], y[order], score[order]
+            last = np.concatenate([x[1:] != x[:-1], [True]]) if len(x) else np.zeros(0, bool)
+            x, y, score = x[last], y[last], score[last]
+            alone = np.setdiff1d(np.flatnonzero((tile > 0) | np.repeat(lengths >= keep_tiles, lengths)), x)
+            at = np.concatenate([x, alone])
+            partner = pa.array(np.concatenate([node[y], np.zeros(len(alone), np.int64)]), mask=np.arange(len(at)) >= len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(tile[at]), pa.array(node[at]), partner, pa.array(np.concatenate([score, np.zeros(len(alone))]))], ["key", "tile", "node", "partner", "score"])
 
     return run
 
@@ -219,23 +253,15 @@ def _tree_pairs(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(table: pa.Table) -> pa.RecordBatch:
-            keys = [table.column(c).to_numpy() for c in range(3)]
+            (*keys, tile, node, component, size), points = _columns(table, 7)
             cuts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]), [True]]))
-            tile, node, component, size = (table.column(c).to_numpy() for c in range(3, 7))
-            points = np.frombuffer(b"".join(table.column(7).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
-            a: list[int] = []
-            b: list[int] = []
             starts, lengths = cuts[:-1], np.diff(cuts)
             leaf = (lengths <= PAGE) & (keys[1][starts] == keys[2][starts])
-            for m in np.unique(lengths[leaf]).tolist():  # trees of a single page, all of a size at once
-                i, j = np.triu_indices(m, 1)
-                for at in range(0, len(own := starts[leaf & (lengths == m)]), step := max(1, 20_000 // max(1, len(i)))):
-                    x, y = (own[at:at + step, None] + i).ravel(), (own[at:at + step, None] + j).ravel()
-                    ok = (component[x] != component[y]) & (size[x] * den >= size[y] * num) & (size[y] * den >= size[x] * num)
-                    x, y = x[ok], y[ok]
-                    ok = np.minimum(points[x], points[y]).sum(1) * (num + den) >= num * (size[x] + size[y])
-                    a += node[x[ok]].tolist()
-                    b += node[y[ok]].tolist()
+            a: list[int] = []
+            b: list[int] = []
+            for x, y, _ in _small_pairs(starts[leaf], lengths[leaf], component, size, points, num, den):
+                a += node[x].tolist()
+                b += node[y].tolist()
             for s, e in zip(starts[~leaf].tolist(), (starts + lengths)[~leaf].tolist()):
                 apart = keys[1][s] != keys[2][s]
                 if e - s > 1 and (component[s:e] != component[s]).any() and not (apart and (tile[s:e] == tile[s]).all()):
@@ -333,25 +359,35 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     described = materialize(rows.mapInArrow(describe, "doc_id long, n long, node long, keys array<long>, points binary"), "shingles")
     keyed = described.where("keys is not null").select(F.explode("keys").alias("key"), "n", "node")
-    members = materialize(keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(pivots, "key long, n long, node long, pivot long"), "members")
-
+    members = materialize(keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(members_of(TILE), "key long, n long, node long, tile long"), "members")
     shared = members.select("node").distinct()
     points = described.where("keys is not null").join(shared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("points").alias("points"))
     points = materialize(points, "points")
 
-    votes = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("votes"))
-    sides = [points.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("points").alias(f"points_{x}")) for x in ("a", "b")]
-    best = votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("b")).withColumnRenamed("node", "a")
-    near = best.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "points_a", "points_b").mapInArrow(_bounded(num, den), "a long, b long")
-    links = _verified(near, rows, points, words, num, den)
-
-    first = materialize(connected_components(links, "a", "b"), "labels")
-    labelled = members.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("m")).where("one <> other").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    across = labelled.join(open_keys, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # Each round, every set is verified against its nearest partner in another component, and components merge.
+    first, links, tried = None, None, None
+    for _ in range(ROUNDS):
+        at = members.join(points.select("node", "n", "points"), "node") if first is None else members.join(first, "node", "left").join(points.select("node", "n", "points"), "node")
+        at = at.select("key", "tile", "node", F.coalesce("component", "node").alias("component") if first is not None else F.col("node").alias("component"), points["n"], "points")
+        nearest = materialize(at.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_nearest(num, den, TILE), "key long, tile long, node long, partner long, score double"), "nearest")
+        members = nearest.select("key", "tile", "node")
+        pairs = nearest.where("partner is not null").groupBy("node").agg(F.max_by("partner", F.struct("score", "partner")).alias("partner"))
+        pairs = pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near")
+        new = _verified(pairs, rows, points, words, num, den)
+        links, tried = new if links is None else links.unionByName(new), pairs if tried is None else tried.unionByName(pairs)
+        if first is not None and new.isEmpty():
+            break
+        first = materialize(connected_components(links, "a", "b"), "labels")
+
+    # What links are left, if any, stand between components.
+    labelled = members.join(first, "node", "left").select("key", "tile", "node", F.coalesce("component", "node").alias("component"))
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.max("tile").alias("tiles")).where("one <> other").select("key", "tiles")
+    across = labelled.join(open_keys, "key").withColumn("with", F.explode(F.sequence(F.lit(0), "tiles")))
     across = across.join(points.select("node", "n", "points"), "node").select("key", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "component", "n", "points")
     dealt = across.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    more = _verified(dealt.mapInArrow(_tree_pairs(num, den), "a long, b long").distinct(), rows, points, words, num, den)
+    left = dealt.mapInArrow(_tree_pairs(num, den), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    more = _verified(left, rows, points, words, num, den)
 
     # Second components over the first: the names of first components are the nodes now.
     name = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))

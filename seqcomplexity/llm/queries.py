@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, linededup, media, quality, urlfilter
+from . import ann, bpe, chat, jaccard, linededup, media, quality, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,12 @@ def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_temporal_url_lists, op5_perspective_rotation, op6_mpeg_audio, op7_fuzzy_line_dedup, op8_bpe_segment_tree, op9_weak_label_quality)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_temporal_url_lists, op5_perspective_rotation, op6_mpeg_audio, op7_fuzzy_line_dedup, op8_bpe_segment_tree, op9_weak_label_quality, op10_additive_quantisation)}
 
 
 def oracle_sql() -> dict[str, str]:
