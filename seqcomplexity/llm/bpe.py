@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
 from .common import chunks, utf8
@@ -242,13 +243,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode every whole text.
 
     Returns ``doc_id, n_tokens, ids, ids_sha256, decoded_sha256``: ids as little-endian uint32 bytes (null with
     ``keep_ids=False``), the digests over these bytes and over the text decoded from them. A null text is the
-    empty text (0 tokens); a null id stays null; repeated rows are encoded each; other columns are ignored, so
-    clashing names don't matter; an empty table gives an empty table. Special-token strings in a text are
+    empty text (0 tokens); a null id stays null; repeated rows are encoded each; other columns are ignored but for those
+    named in ``carry``, which follow as they are; an empty table gives an empty table. Special-token strings in a text are
     encoded as these tokens, as the tokenizer library does by default. No shuffle; memory is bounded by one
     Arrow batch, one document and a cache of bounded size.
     """
@@ -278,10 +279,11 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
                     back.update(tail.decode("utf-8", "replace").encode())
                     for out, value in zip(rows, (count, b"".join(kept) if keep_ids else None, said.hexdigest(), back.hexdigest())):
                         out.append(value)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string()), *part.columns[2:]], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", *carry])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *carry)
+    made = T.StructType.fromDDL("doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, T.StructType([*made.fields, *[docs.schema[c] for c in carry]]))
 
 
 def _whole(raw: bytes) -> int:

@@ -155,6 +155,8 @@ class Scorer:
     @staticmethod
     def fit(rows: np.ndarray, labels: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> Scorer:
         """Accelerated gradient steps on the cross-entropy with soft labels; deterministic."""
+        used, size = np.flatnonzero(np.abs(rows).max(0, initial=0.0)), rows.shape[1]  # features that never occur keep weight 0
+        rows = rows[:, used]
         w, at, bias, old_bias, old = np.zeros(rows.shape[1]), np.zeros(rows.shape[1]), 0.0, 0.0, np.zeros(rows.shape[1])
         rate = 4 / max(1e-9, float((rows**2).sum(1).max(initial=0.0)) + 1)
         for k in range(rounds):
@@ -162,7 +164,9 @@ class Scorer:
             w, new_bias = at - rate * (rows.T @ gap / max(1, len(labels)) + decay * at), bias - rate * float(gap.mean() if len(gap) else 0.0)
             push = k / (k + 3)
             at, bias, old, old_bias = w + push * (w - old), new_bias + push * (new_bias - old_bias), w, new_bias
-        return Scorer(old, old_bias)
+        weights = np.zeros(size)
+        weights[used] = old
+        return Scorer(weights, old_bias)
 
     def score(self, index: np.ndarray, value: np.ndarray, ends: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(self.weights[index] * value)])
