@@ -86,40 +86,44 @@ def block_entropy(s: str, k: int) -> float:
 
 
 def _bits_lz76(codes: np.ndarray, lengths: np.ndarray, alphabet: int) -> np.ndarray:
-    """LZ76 phrase counts of rows of ``codes``, by bit sets of candidate starts.
+    """LZ76 phrase counts of rows of ``codes``, by bit sets.
 
-    For every row, ``seen[c]`` has bit p if symbol p is c. While a word grows, ``open`` has the earlier starts at which
-    it occurs: a symbol at distance d from the word's start keeps the starts p with symbol p + d equal to it."""
+    For every row, ``seen[c]`` has bit p if symbol p, so far, is c, and ``ends`` the positions at which the open word has ended
+    before. A symbol moves these ends by one and keeps those where it stands; when none is left, the word is a phrase."""
     rows, longest = codes.shape
     words = (longest + 63) // 64
-    seen = np.zeros((words, alphabet, rows), np.uint64)
-    start, count, every = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.arange(rows)
-    candidates = np.zeros((words, rows), np.uint64)
-    top = np.uint64(64)
+    seen = np.zeros((words, alphabet * rows), np.uint64)
+    ends = np.full((words, rows), np.uint64(0xFFFFFFFFFFFFFFFF))
+    fresh, count = np.ones(rows, bool), np.zeros(rows, np.int64)
+    spots = np.ascontiguousarray((codes * rows + np.arange(rows)[:, None]).T)
+    one, top, shortest = np.uint64(1), np.uint64(63), int(lengths.min()) if rows else 0
     for j in range(longest):
-        live = j < lengths
-        code = codes[:, j]
-        shift = (j - start).astype(np.uint64)
-        match = [seen[w, code, every] for w in range(words)]
-        if words == 1:
-            moved = [match[0] >> shift]
+        spot = spots[j]
+        now = j // 64
+        carry, hit = fresh.astype(np.uint64), None
+        for w in range(now + 1):
+            own = ends[w]
+            moved = own << one
+            moved |= carry
+            if w < now:
+                carry = own >> top
+            moved &= seen[w][spot]
+            ends[w] = moved
+            hit = moved if hit is None else hit | moved
+        seen[now][spot] |= one << np.uint64(j & 63)
+        fresh = hit == 0
+        if j >= shortest:
+            live = j < lengths
+            count += fresh & live
+            last = lengths == j + 1
+            count += last & ~fresh
         else:
-            whole, part = (shift >> np.uint64(6)).astype(np.int64), shift & np.uint64(63)
-            lanes = np.stack([*match, *[np.zeros(rows, np.uint64)] * (words + 1)])
-            back = top - part
-            moved = [(lanes[w + whole, every] >> part) | np.where(part > 0, lanes[w + whole + 1, every] << np.minimum(back, np.uint64(63)), np.uint64(0)) for w in range(words)]
-        hit = np.zeros(rows, bool)
-        for w in range(words):
-            candidates[w] &= moved[w]
-            hit |= candidates[w] != 0
-        closes = live & ~hit
-        count += closes
-        start[closes] = j + 1
-        seen[j >> 6, code, every] |= np.uint64(1 << (j & 63))
-        for w in range(words):
-            low = min(64, max(0, j + 1 - 64 * w))
-            candidates[w][closes] = np.uint64((1 << low) - 1)
-    return count + (start < lengths)
+            count += fresh
+            if j + 1 == shortest:
+                count += (lengths == shortest) & ~fresh
+        for w in range(now + 1 + (j & 63 == 63 and now + 1 < words)):
+            ends[w][fresh] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return count
 
 
 def lz76_counts(strings: list[str | None]) -> np.ndarray:
@@ -130,8 +134,8 @@ def lz76_counts(strings: list[str | None]) -> np.ndarray:
         out[i] = lz76_count(strings[i])
     for low in range(0, BATCH_LENGTH, 64):
         rows = np.flatnonzero((lengths > low) & (lengths <= low + 64))
-        for at in range(0, len(rows), 8192):
-            part = rows[at:at + 8192]
+        for at in range(0, len(rows), 2048):
+            part = rows[at:at + 2048]
             if len(part) < 16:
                 out[part] = [lz76_count(strings[i]) for i in part.tolist()]
                 continue
@@ -150,8 +154,8 @@ def lz76_counts(strings: list[str | None]) -> np.ndarray:
 def lz76_counts_of_bits(index: np.ndarray, length: int) -> np.ndarray:
     """LZ76 phrase counts of the binary strings of ``length`` (up to 63) whose big-endian values are ``index``."""
     out = np.zeros(len(index), np.int64)
-    for at in range(0, len(index), 8192):
-        part = index[at:at + 8192].astype(np.int64)
+    for at in range(0, len(index), 2048):
+        part = index[at:at + 2048].astype(np.int64)
         codes = (part[:, None] >> np.arange(length - 1, -1, -1)) & 1
-        out[at:at + 8192] = _bits_lz76(codes, np.full(len(part), length), 2)
+        out[at:at + 2048] = _bits_lz76(codes, np.full(len(part), length), 2)
     return out
