@@ -32,16 +32,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_path = path
+    return out
 
 
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a table that ``materialize`` made and nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
     conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    path = jvm.org.apache.hadoop.fs.Path(df.materialized_path)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -115,20 +116,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2 ** 64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
 
 
-def bloom_filter(ids: DataFrame, count: int) -> np.ndarray:
-    """A Bloom filter over the long column ``doc_id``: 16 bits an id, 128 kB to 32 MB, built by page."""
+def bloom_filter(ids: DataFrame, count: int, native: bool = False) -> np.ndarray:
+    """A Bloom filter over the long column ``doc_id``: 16 bits an id, 128 kB to 32 MB, built by page; for ``bloom_hits``, or else for ``bloom_expression``."""
     bits = 1 << min(28, max(20, (16 * max(count, 1) - 1).bit_length()))
     page = 1 << 19
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for spot in _spots(batch.column(0).drop_null().to_numpy(), bits):
+            known = batch.column(0).drop_null().to_numpy()
+            for spot in [known] if native else _spots(known, bits):
                 np.bitwise_or.at(seen, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
         parts = [(i, seen[i * page // 8:(i + 1) * page // 8]) for i in range(bits // page)]
         parts = [(i, p.tobytes()) for i, p in parts if p.any()]
@@ -139,6 +141,8 @@ def bloom_filter(ids: DataFrame, count: int) -> np.ndarray:
         return pa.table({"page": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([parts.tobytes()], pa.binary())})
 
     out = np.zeros(bits // 8, np.uint8)
+    if native:
+        ids = ids.where("doc_id is not null").select(F.explode(F.array(*[F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(bits)) for seed in range(3)])).alias("doc_id"))
     for i, part in ids.select("doc_id").mapInArrow(local, "page long, bits binary").groupBy("page").applyInArrow(merge, "page long, bits binary").collect():
         out[i * page // 8:(i + 1) * page // 8] = np.frombuffer(part, np.uint8)
     return out
@@ -155,19 +159,24 @@ def bloom_hits(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([bits[s >> 3] >> (s & 7).astype(np.uint8) & 1 > 0 for s in spots]) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def sifted(docs: DataFrame, touched: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` in two parts by a Bloom filter over the column ``doc_id`` of ``touched``: rows whose id surely isn't there, and the rest."""
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(touched, count))
+def bloom_expression(bits: np.ndarray, column: Column) -> Column:
+    """``bloom_hits`` as a column of built-in functions, with the filter as a literal; null for a null id."""
+    size, out = len(bits) * 8, None
+    for seed in range(3):
+        spot = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(size))
+        byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits.tobytes())), (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.call_function("shiftright", byte, spot.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        out = bit if out is None else out & bit
+    return out
 
-    def part(met: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-                yield batch.filter(pa.array(bloom_hits(ids, bloom.value) == met))
 
-        return run
+def sifted(docs: DataFrame, touched: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts by a Bloom filter over the column ``doc_id`` of ``touched``: rows whose id surely isn't there (or is null), and the rest.
 
-    return docs.mapInArrow(part(False), docs.schema), docs.mapInArrow(part(True), docs.schema)
+    The rows don't leave the JVM."""
+    bits = bloom_filter(touched, count, native=True)
+    hit = F.coalesce(bloom_expression(bits, F.col("doc_id").cast("long")), F.lit(False))
+    return docs.where(~hit), docs.where(hit)
 
 
 def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:

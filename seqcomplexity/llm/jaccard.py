@@ -7,15 +7,17 @@ similarity share an n-gram among the first few of each (``n - ceil(t * n) + 1``)
 so frequent passages bring nothing together. Within each such bucket an R-tree over the points finds the pairs whose
 bound suffices, and the survivors are verified on the sets themselves.
 
-No link between different sets is lost, yet not every pair of a large group is looked at: in a few rounds each set is
-verified against the partner of the largest bound in another component, and components merge; then the R-trees list all
-pairs across components, which are all that can be missing. Equal sets are one node from the start.
+No link between different sets is lost, yet nothing lists all pairs of a large group. In rounds, each set names the partner of
+the largest bound in another family, and families merge, until no pair across families passes the bound. Then every family is
+verified by itself: its texts meet tile by tile, and only links that join what wasn't joined come out. Equal sets are one node
+from the start.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ GROUPS = 64
 PAGE = 16
 #: Members of a bucket in one tile; larger buckets are joined tile by tile.
 TILE = 2048
-#: Rounds in which every set is verified against its nearest partner, before all that is left.
-ROUNDS = 3
+#: Members of a family in one tile, for count vectors and for texts.
+FINE_TILE, FAMILY_TILE = 512, 256
+#: Every round at least halves the families that others are near to.
+MAX_ROUNDS = 40
 #: N-grams whose counts steer the order: a bound on what is broadcast (16 bytes each).
 ORDERED_LAST = 1 << 16
 
@@ -202,22 +206,24 @@ def _columns(table: pa.Table, ints: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [table.column(c).to_numpy() for c in range(ints)], points
 
 
-def _nearest(num: int, den: int, keep_tiles: int):
-    """From rows ``key, tile, node, component, n, points`` in order of (key, tile): for every member of a tile the partner of
-    another component with the largest bound, as ``key, tile, node, partner, bound``. Members without a partner go, unless
-    their bucket may have more tiles."""
+def _nearest(num: int, den: int):
+    """From rows ``key, low, high, node, family, n, points`` in order of (key, low, high): for every member of a group the partner of
+    another family with the largest bound, as ``key, node, partner, score``. Members without a partner go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, 2):
-            (key, tile, node, component, size), points = _columns(table, 5)
-            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), [True]]))
+        for table in runs(batches, 3):
+            points = np.frombuffer(b"".join(table.column(6).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
+            key, low, high, node, family, size = (table.column(c).to_numpy() for c in range(6))
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
             starts, lengths = cuts[:-1], np.diff(cuts)
             leaf = lengths <= PAGE
-            found = [(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([s, s])) for x, y, s in _small_pairs(starts[leaf], lengths[leaf], component, size, points, num, den)]
+            found = [(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([s, s])) for x, y, s in _small_pairs(starts[leaf], lengths[leaf], family, size, points, num, den)]
             for s, m in zip(starts[~leaf].tolist(), lengths[~leaf].tolist()):
+                if (family[s:s + m] == family[s]).all():
+                    continue
                 tree = CountRTree(points[s:s + m], size[s:s + m])
                 for i in range(s, s + m):
                     hit = s + tree.query(points[i], size[i], num, den)
-                    hit = hit[component[hit] != component[i]]
+                    hit = hit[family[hit] != family[i]]
                     if len(hit):
                         bound = np.minimum(points[hit], points[i]).sum(1)
                         # Similarity by the bound, not the bound alone, lest large sets attract.
@@ -229,65 +235,107 @@ def _nearest(num: int, den: int, keep_tiles: int):
             x, y, score = x[order], y[order], score[order]
             last = np.concatenate([x[1:] != x[:-1], [True]]) if len(x) else np.zeros(0, bool)
             x, y, score = x[last], y[last], score[last]
-            alone = np.setdiff1d(np.flatnonzero((tile > 0) | np.repeat(lengths >= keep_tiles, lengths)), x)
-            at = np.concatenate([x, alone])
-            partner = pa.array(np.concatenate([node[y], np.zeros(len(alone), np.int64)]), mask=np.arange(len(at)) >= len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(tile[at]), pa.array(node[at]), partner, pa.array(np.concatenate([score, np.zeros(len(alone))]))], ["key", "tile", "node", "partner", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(node[x]), pa.array(node[y]), pa.array(score)], ["key", "node", "partner", "score"])
 
     return run
 
 
-def _tree_pairs(num: int, den: int):
-    """From rows ``key, low, high, tile, node, component, n, points`` in order of (key, low, high), pairs across components and tiles that pass the R-tree."""
-    def pairs(tile: np.ndarray, node: np.ndarray, component: np.ndarray, size: np.ndarray, points: np.ndarray, apart: bool) -> tuple[list, list]:
-        a, b = [], []
-        right = tile == tile.max() if apart else np.ones(len(node), bool)
-        spots = np.flatnonzero(right)
-        tree = CountRTree(points[right], size[right])
-        for i in range(len(node)) if not apart else np.flatnonzero(~right).tolist():
-            hit = spots[tree.query(points[i], size[i], num, den)]
-            hit = hit[component[hit] != component[i]] if apart else hit[(component[hit] != component[i]) & (node[hit] > node[i])]
-            a += [int(node[i])] * len(hit)
-            b += node[hit].tolist()
-        return a, b
+def fine_counts(one: np.ndarray) -> bytes:
+    """A set's count vector over groups in proportion to its size, deflated; halves of a vector add up to that over half the groups."""
+    groups = 1 << int(np.clip((len(one) // 2).bit_length(), 6, 12))
+    return zlib.compress(np.minimum(np.bincount((one >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), 65535).astype("<u2").tobytes(), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            (*keys, tile, node, component, size), points = _columns(table, 7)
-            cuts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]), [True]]))
-            starts, lengths = cuts[:-1], np.diff(cuts)
-            leaf = (lengths <= PAGE) & (keys[1][starts] == keys[2][starts])
-            a: list[int] = []
-            b: list[int] = []
-            for x, y, _ in _small_pairs(starts[leaf], lengths[leaf], component, size, points, num, den):
-                a += node[x].tolist()
-                b += node[y].tolist()
-            for s, e in zip(starts[~leaf].tolist(), (starts + lengths)[~leaf].tolist()):
-                apart = keys[1][s] != keys[2][s]
-                if e - s > 1 and (component[s:e] != component[s]).any() and not (apart and (tile[s:e] == tile[s]).all()):
-                    x, y = pairs(tile[s:e], node[s:e], component[s:e], size[s:e], points[s:e], apart)
-                    a += x
-                    b += y
-            a_, b_ = np.array(a, np.int64), np.array(b, np.int64)
-            both = np.unique(np.stack([np.minimum(a_, b_), np.maximum(a_, b_)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
+def fine_points(packed: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(x), "<u2") for x in packed]
+
+
+def _joins(nodes: list[int], size: np.ndarray, own: np.ndarray, points: np.ndarray | None, sets: list[np.ndarray] | None, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links that join a group as far as similarities (with ``sets``) or else bounds do; pairs joined already are passed over."""
+    root = np.arange(len(nodes))
+    for i in range(1, len(nodes)):
+        near = np.flatnonzero((root[:i] != root[i]) & (own[:i] | own[i]) & (size[:i] * den >= size[i] * num) & (size[i] * den >= size[:i] * num))
+        if points is not None and len(near):
+            bound = np.minimum(points[near], points[i]).sum(1, dtype=np.int64)
+            keep = bound * (num + den) >= num * (size[near] + size[i])
+            near, bound = near[keep], bound[keep]
+            near = near[np.argsort(-(bound / (size[near] + size[i] - bound)), kind="stable")]
+        for j in near.tolist():
+            if root[j] == root[i]:
+                continue
+            if sets is not None:
+                spot = np.searchsorted(sets[j], sets[i])
+                spot[spot == size[j]] = 0
+                met = int((sets[j][spot] == sets[i]).sum())
+                if den * met < num * (size[i] + size[j] - met):
+                    continue
+            root[root == root[i]] = root[j]
+            yield nodes[i], nodes[j]
+
+
+def _folded(vectors: list[np.ndarray]) -> np.ndarray:
+    """Count vectors over as many groups as the shortest has."""
+    least = min(len(v) for v in vectors)
+    return np.stack([v if len(v) == least else np.minimum(v.reshape(-1, least).sum(0), 65535).astype(np.uint16) for v in vectors])
+
+
+def family_links(unpack: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int, exact: bool = True):
+    """From rows ``family, low, high, node, n, own, packed`` in order of (family, low, high), links ``a, b`` within each group.
+
+    ``unpack`` turns packed bytes to sorted hashes of sets (``exact``) or count vectors. Pairs of which no member is ``own`` are
+    another group's; all others are bounded by count vectors, unless links found so far join them, and then verified on
+    the sets, if there are any."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3):
-            yield flush(table)
+            family, low, high = (table.column(c).to_numpy() for c in range(3))
+            bounds = np.flatnonzero(np.concatenate([[True], (family[1:] != family[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]])).tolist()
+            nodes, size, own, packed = table.column(3).to_pylist(), table.column(4).to_numpy(), table.column(5).to_numpy(), table.column(6)
+            found: list[tuple[int, int]] = []
+            held: list[np.ndarray] = []
+            done = offset = 0
+            for a, b in chunks(np.array([len(x) for x in packed.to_pylist()]) * 4):
+                held += unpack(packed.slice(a, b - a).to_pylist())
+                while done + 1 < len(bounds) and bounds[done + 1] <= b:
+                    s, e = bounds[done], bounds[done + 1]
+                    part = held[s - offset:e - offset]
+                    if e - s > 1:
+                        points = None
+                        if not exact:
+                            points = _folded(part)
+                        elif e - s > 2:
+                            groups = 1 << int(np.clip((int(size[s:e].max()) // 2).bit_length(), 6, 11))
+                            points = np.stack([np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), 65535) for x in part]).astype(np.uint16)
+                        found += _joins(nodes[s:e], size[s:e], own[s:e], points, part if exact else None, num, den)
+                    done += 1
+                if bounds[done] > offset:
+                    held, offset = held[bounds[done] - offset:], bounds[done]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, points: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` of set names whose sets reach the similarity, written out.
+def join_families(families: DataFrame, packed: DataFrame, tile: int, links: Callable, num: int, den: int) -> DataFrame:
+    """``a, b``: what ``links`` finds among the members of each family (``node, family``), given ``node, n, packed``.
 
-    Only texts that stand in a pair are read again: a Bloom filter over their ids passes them, their sets' names tell
-    exactly. They travel deflated, which takes a quarter of the room of their sets."""
-    pairs = materialize(pairs, "pairs")
-    names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = materialize(points.join(names, "node", "left_semi").select("node", "doc_id"), "chosen")
-    count = chosen.count()
-    bloom = pairs.sparkSession.sparkContext.broadcast(bloom_filter(chosen, count))
+    A family falls into classes of sizes so wide that similar sets stand in one or two neighbours: a class meets itself and the
+    class below. Classes of many members meet tile by tile."""
+    width = math.log(den / num) * 1.000001
+    level = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / width)
+    placed = families.join(packed.select("node", "n"), "node").withColumn("level", level)
+    placed = placed.select("node", "n", "family", F.explode(F.array(F.struct(F.col("level").alias("at"), F.lit(True).alias("own")), F.struct((F.col("level") + 1).alias("at"), F.lit(False).alias("own")))).alias("group"))
+    placed = placed.select("node", "n", "group.own", F.xxhash64("family", "group.at").alias("family"))
+    sizes = placed.groupBy("family").agg(F.count("*").alias("m"), F.max("own").alias("some")).where("m > 1 and some").select("family", F.floor((F.col("m") - 1) / tile).alias("last_tile"))
+    dealt = placed.join(sizes, "family").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("last_tile") + 1)).drop("last_tile")
+    dealt = tiled(dealt, sizes, "family").join(packed.select("node", "packed"), "node").select("family", "low", "high", "node", "n", "own", "packed")
+    return dealt.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(links, "a long, b long")
+
+
+def _texts(nodes: DataFrame, rows: DataFrame, points: DataFrame, words: int) -> DataFrame:
+    """``node, n, fine, packed``: for each set its size, its fine count vector and one text that has it, deflated.
+
+    The texts are read again: a Bloom filter over their ids passes them, their sets' names tell exactly."""
+    chosen = materialize(points.join(nodes, "node", "left_semi").select("node", "doc_id"), "chosen")
+    bloom = rows.sparkSession.sparkContext.broadcast(bloom_filter(chosen, chosen.count()))
 
     def regain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
@@ -299,25 +347,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, points: DataFrame, words: int,
             for ids, sets in _sets(iter([batch]), words):
                 packed = [zlib.compress(t, 1) for t in texts.slice(at, len(sets)).to_pylist()]
                 at += len(sets)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "node", "packed"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fine_counts(s) for s in sets], pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "node", "n", "fine", "packed"])
 
-    again = rows.mapInArrow(regain, "doc_id long, node long, packed binary").alias("r")
+    again = rows.mapInArrow(regain, "doc_id long, node long, n long, fine binary, packed binary").alias("r")
     same = (F.col("r.node") == F.col("c.node")) & F.col("r.doc_id").eqNullSafe(F.col("c.doc_id"))
-    texts = materialize(again.join(chosen.hint("shuffle_hash").alias("c"), same, "left_semi").dropDuplicates(["node"]).select("node", "packed"), "texts")
+    return materialize(again.join(chosen.hint("shuffle_hash").alias("c"), same, "left_semi").dropDuplicates(["node"]).select("node", "n", "fine", "packed"), "texts")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, j in chunks(np.array([len(x) for c in (2, 3) for x in batch.column(c).to_pylist()]).reshape(2, -1).sum(0) * 4):
-                both = [zlib.decompress(x) for c in (2, 3) for x in batch.column(c).slice(i, j - i).to_pylist()]
-                sets = shingle_sets(np.frombuffer(b"".join(both), np.uint8), np.cumsum([0, *map(len, both)]), words)
-                for p, q in zip(sets[:j - i], sets[j - i:]):
-                    met = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(den * met >= num * (len(p) + len(q) - met))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    left, right = texts.select(F.col("node").alias("a"), F.col("packed").alias("x")), texts.select(F.col("node").alias("b"), F.col("packed").alias("y"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+def tiled(rows: DataFrame, tiles: DataFrame, by: str) -> DataFrame:
+    """Rows with ``by`` and ``tile``, repeated for every pair ``low, high`` of tiles of their group; ``tiles`` has the last tile of groups of several."""
+    out = rows.join(tiles, by, "left").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last_tile", F.lit(0).cast("long")))))
+    return out.withColumn("low", F.least("tile", "with")).withColumn("high", F.greatest("tile", "with")).drop("with", "last_tile")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,38 +404,42 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     points = described.where("keys is not null").join(shared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("points").alias("points"))
     points = materialize(points, "points")
 
-    # Each round, every set is verified against its nearest partner in another component, and components merge.
-    first, links, tried = None, None, None
-    for _ in range(ROUNDS):
-        at = members.join(points.select("node", "n", "points"), "node") if first is None else members.join(first, "node", "left").join(points.select("node", "n", "points"), "node")
-        at = at.select("key", "tile", "node", F.coalesce("component", "node").alias("component") if first is not None else F.col("node").alias("component"), points["n"], "points")
-        nearest = materialize(at.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_nearest(num, den, TILE), "key long, tile long, node long, partner long, score double"), "nearest")
-        members = nearest.select("key", "tile", "node")
-        pairs = nearest.where("partner is not null").groupBy("node").agg(F.max_by("partner", F.struct("score", "partner")).alias("partner"))
-        pairs = pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near")
-        new = _verified(pairs, rows, points, words, num, den)
-        links, tried = new if links is None else links.unionByName(new), pairs if tried is None else tried.unionByName(pairs)
-        if first is not None and new.isEmpty():
+    # Families: each round, every set names its nearest partner by the bound in another family, until none has one.
+    edges, families = None, None
+    tiles = materialize(members.where("tile > 0").groupBy("key").agg(F.max("tile").alias("last_tile")), "tiles")
+    places = members.select("key", F.col("node").alias("placed"), "tile") if not tiles.isEmpty() else None
+    for _ in range(MAX_ROUNDS):
+        at = members.select("key", "tile", "node") if families is None else members.select("key", "tile", "node").join(families, "node", "left")
+        at = at.join(points.select("node", "n", "points"), "node").withColumn("family", F.col("node") if families is None else F.coalesce("family", "node"))
+        at = at.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(0).cast("long")) if places is None else tiled(at, tiles, "key")
+        dealt = at.select("key", "low", "high", "node", "family", "n", "points").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        nearest = materialize(dealt.mapInArrow(_nearest(num, den), "key long, node long, partner long, score double"), "nearest")
+        new = nearest.groupBy("node").agg(F.max_by("partner", F.struct("score", "partner")).alias("partner"))
+        new = materialize(new.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct(), "near")
+        if new.isEmpty():
             break
-        first = materialize(connected_components(links, "a", "b"), "labels")
-
-    # What links are left, if any, stand between components.
-    labelled = members.join(first, "node", "left").select("key", "tile", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.max("tile").alias("tiles")).where("one <> other").select("key", "tiles")
-    across = labelled.join(open_keys, "key").withColumn("with", F.explode(F.sequence(F.lit(0), "tiles")))
-    across = across.join(points.select("node", "n", "points"), "node").select("key", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "component", "n", "points")
-    dealt = across.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    left = dealt.mapInArrow(_tree_pairs(num, den), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(left, rows, points, words, num, den)
-
-    # Second components over the first: the names of first components are the nodes now.
-    name = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    named = more.join(name, "a", "left").join(name.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
-    second = connected_components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")
+        edges = new if edges is None else edges.unionByName(new)
+        families = materialize(connected_components(edges, "a", "b").select("node", F.col("component").alias("family")), "families")
+        members = nearest.select("key", "node", F.lit(0).cast("long").alias("tile")) if places is None else nearest.select("key", "node").distinct().join(places.select("key", F.col("placed").alias("node"), "tile"), ["key", "node"])
+    else:
+        raise RuntimeError("families did not settle")
+
+    # Links stand within families. Fine count vectors split them first; then their texts meet, as far as links found don't join them.
+    if families is None:
+        first = described.where("false").select("node", F.col("node").alias("component"))
+    else:
+        def unpack(packed: list[bytes]) -> list[np.ndarray]:
+            raw = [zlib.decompress(x) for x in packed]
+            return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), words)
+
+        texts = _texts(families.select("node"), rows, points, words)
+        closer = join_families(families, texts.select("node", "n", F.col("fine").alias("packed")), FINE_TILE, family_links(fine_points, num, den, exact=False), num, den)
+        closer = materialize(connected_components(closer, "a", "b").select("node", F.col("component").alias("family")), "families")
+        joined = join_families(closer, texts.select("node", "n", "packed"), FAMILY_TILE, family_links(unpack, num, den), num, den)
+        first = connected_components(joined, "a", "b")
+    first = materialize(first, "labels")
     nodes = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    nodes = nodes.join(first, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    nodes = nodes.join(second.select(F.col("node").alias("part"), F.col("component").alias("whole")), "part", "left").withColumn("whole", F.coalesce("whole", "part"))
+    nodes = nodes.join(first, "node", "left").withColumn("whole", F.coalesce("component", "node")).drop("component")
     grouped = nodes.groupBy("whole").agg(F.min("least").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
     names = nodes.select("node", "whole").join(grouped, "whole").select("node", "component_id")
     out = described.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")

@@ -54,6 +54,7 @@ def variants(seed, n):
 def test_against_brute_force(spark, monkeypatch, seed, words, num, den, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(jaccard, "FAMILY_TILE", min(tile, 256))
+    monkeypatch.setattr(jaccard, "FINE_TILE", min(tile, 512))
     rows = variants(seed, 240) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (None, "one"), (1005, "one"), (1005, "one"), (1005, "other text of this id")]
     docs = spark.createDataFrame([Row(doc_id=d, text=t, n="clash", node=1, key=2) for d, t in rows], "doc_id long, text string, n string, node int, key int")
     found = jaccard.jaccard_components(docs, words, num, den).collect()
