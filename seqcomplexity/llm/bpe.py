@@ -31,7 +31,7 @@ _UNSURE = regex.compile("[^\x00-՗ऀ-௿฀-໿Ḁ-ⁿ₠-₿℀-↋←-⏿─-
 _NONE = np.iinfo(np.int64).max
 #: Symbols up to which words share a forest.
 _FOREST_WIDTH = 64
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 400_000
 #: Longer texts are cut into pieces of about so many characters.
 _PIECE_CHARS = 500_000
 _CUT = regex.compile(r"(?<=\S) ")
@@ -280,6 +280,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
                     for out, value in zip(rows, (count, b"".join(kept) if keep_ids else None, said.hexdigest(), back.hexdigest())):
                         out.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string()), *part.columns[2:]], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", *carry])
+        bpe.cache.clear()  # an idle worker holds no words
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *carry)
     made = T.StructType.fromDDL("doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
