@@ -159,12 +159,12 @@ def bloom_hits(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([bits[s >> 3] >> (s & 7).astype(np.uint8) & 1 > 0 for s in spots]) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def bloom_expression(bits: np.ndarray, column: Column) -> Column:
-    """``bloom_hits`` as a column of built-in functions, with the filter as a literal; null for a null id."""
-    size, out = len(bits) * 8, None
+def bloom_expression(bits: Column, size: int, column: Column) -> Column:
+    """``bloom_hits`` as a column of built-in functions, given the filter of ``size`` bits as a binary column; null for a null id."""
+    out = None
     for seed in range(3):
         spot = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(size))
-        byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits.tobytes())), (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        byte = F.conv(F.hex(F.substring(bits, (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         bit = F.call_function("shiftright", byte, spot.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
         out = bit if out is None else out & bit
     return out
@@ -173,9 +173,10 @@ def bloom_expression(bits: np.ndarray, column: Column) -> Column:
 def sifted(docs: DataFrame, touched: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two parts by a Bloom filter over the column ``doc_id`` of ``touched``: rows whose id surely isn't there (or is null), and the rest.
 
-    The rows don't leave the JVM."""
+    The rows don't leave the JVM; the filter reaches them as a scalar subquery."""
     bits = bloom_filter(touched, count, native=True)
-    hit = F.coalesce(bloom_expression(bits, F.col("doc_id").cast("long")), F.lit(False))
+    held = docs.sparkSession.createDataFrame([(bytearray(bits.tobytes()),)], "bits binary")
+    hit = F.coalesce(bloom_expression(held.scalar(), len(bits) * 8, F.col("doc_id").cast("long")), F.lit(False))
     return docs.where(~hit), docs.where(hit)
 
 

@@ -117,10 +117,10 @@ def frequent_grams(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["gram", "n"])
 
     counted = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "gram").limit(ORDERED_LAST).toPandas()
-    grams = top["gram"].to_numpy(np.int64).view(np.uint64)
+    top = counted.orderBy(F.desc("n"), "gram").limit(ORDERED_LAST).toArrow()
+    grams = top["gram"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(grams)
-    return grams[order], np.log2(np.maximum(top["n"].to_numpy(np.float64), 1)).astype(np.uint64)[order]
+    return grams[order], np.log2(np.maximum(top["n"].to_numpy().astype(np.float64), 1)).astype(np.uint64)[order]
 
 
 class CountRTree:

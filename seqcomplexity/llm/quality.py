@@ -155,18 +155,14 @@ class Scorer:
     @staticmethod
     def fit(rows: np.ndarray, labels: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> Scorer:
         """Accelerated gradient steps on the cross-entropy with soft labels; deterministic."""
-        used, size = np.flatnonzero(np.abs(rows).max(0, initial=0.0)), rows.shape[1]  # features that never occur keep weight 0
-        rows = rows[:, used]
         w, at, bias, old_bias, old = np.zeros(rows.shape[1]), np.zeros(rows.shape[1]), 0.0, 0.0, np.zeros(rows.shape[1])
         rate = 4 / max(1e-9, float((rows**2).sum(1).max(initial=0.0)) + 1)
         for k in range(rounds):
-            gap = 1 / (1 + np.exp(-np.clip(rows @ at + bias, -50, 50))) - labels
-            w, new_bias = at - rate * (rows.T @ gap / max(1, len(labels)) + decay * at), bias - rate * float(gap.mean() if len(gap) else 0.0)
+            gap = 1 / (1 + np.exp(-np.clip(rows @ at.astype(rows.dtype) + bias, -50, 50))) - labels
+            w, new_bias = at - rate * (rows.T @ gap.astype(rows.dtype) / max(1, len(labels)) + decay * at), bias - rate * float(gap.mean() if len(gap) else 0.0)
             push = k / (k + 3)
             at, bias, old, old_bias = w + push * (w - old), new_bias + push * (new_bias - old_bias), w, new_bias
-        weights = np.zeros(size)
-        weights[used] = old
-        return Scorer(weights, old_bias)
+        return Scorer(old, old_bias)
 
     def score(self, index: np.ndarray, value: np.ndarray, ends: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(self.weights[index] * value)])
@@ -210,12 +206,17 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = min(1.0, fit_rows / max(1, int(counts.sum())))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * fit_rows) if share < 1 else rows
     found = drawn.mapInArrow(sample, "doc_id long, pattern long, at array<int>, value array<float>").toArrow()
-    dense = np.zeros((found.num_rows, DIMENSIONS), np.float32)
-    sizes = found["at"].combine_chunks().value_lengths().to_numpy() if found.num_rows else np.zeros(0, np.int64)
-    np.add.at(dense, (np.repeat(np.arange(found.num_rows), sizes), found["at"].combine_chunks().flatten().to_numpy() if found.num_rows else np.zeros(0, np.int64)), found["value"].combine_chunks().flatten().to_numpy() if found.num_rows else np.zeros(0))
-    order = np.lexsort((found["pattern"].to_numpy(), found["doc_id"].to_numpy())) if found.num_rows else np.zeros(0, np.int64)
-    posterior = labels.posterior(found["pattern"].to_numpy()) if found.num_rows else np.zeros(0)
-    return QualityModel(labels, Scorer.fit(dense[order], posterior[order]))
+    if not found.num_rows:
+        return QualityModel(labels, Scorer(np.zeros(DIMENSIONS), 0.0))
+    at, value = (found[c].combine_chunks() for c in ("at", "value"))
+    used, spot = np.unique(at.flatten().to_numpy(), return_inverse=True)  # features that never occur keep weight 0
+    dense = np.zeros((found.num_rows, len(used)), np.float32)
+    np.add.at(dense, (np.repeat(np.arange(found.num_rows), at.value_lengths().to_numpy()), spot), value.flatten().to_numpy())
+    order = np.lexsort((found["pattern"].to_numpy(), found["doc_id"].to_numpy()))
+    scorer = Scorer.fit(dense[order], labels.posterior(found["pattern"].to_numpy())[order])
+    weights = np.zeros(DIMENSIONS)
+    weights[used] = scorer.weights
+    return QualityModel(labels, Scorer(weights, scorer.bias))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None = None, text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
