@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -19,63 +20,98 @@ CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, where that is unset, one of our own (tests only)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master, whose driver is its one executor, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="seqcomplexity-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Let Hadoop delete a path when the application ends, if nothing does before."""
+    fs, found = _file_system(spark, path)
+    fs.deleteOnExit(found)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, found = _file_system(spark, path)
+    fs.delete(found, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at replicated files, not at an executor's disk."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at replicated files, not at an executor's disk.
+
+    The files go with ``drop_materialized``, or else when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialized_path = path
     return out
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files behind a table that ``materialize`` made and nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df.materialized_path)
-    path.getFileSystem(conf).delete(path, True)
+def drop_materialized(*tables: DataFrame | None) -> None:
+    """Delete the files behind tables that ``materialize`` made and nothing reads any more; others and None are passed over."""
+    for df in tables:
+        if path := getattr(df, "materialized_path", None):
+            drop_folder(df.sparkSession, path)
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
-    """Distributed union-find by alternating large-star and small-star steps.
+    """Distributed union-find: nodes point at smaller nodes, and pointers are hooked and halved until nothing changes.
+
+    ``edges`` holds undirected links between long ids. Returns ``(node, component)`` with ``component`` the smallest id
+    reachable, for every id that has a link. A round passes each node's pointer's pointer along its links and takes the
+    least for the node and for what it points at; their number grows with the logarithm of the longest path. Links with a
+    null end and self links are ignored; no links give an empty table.
 
-    ``edges`` holds undirected links between long ids. Returns ``(node, component)`` with ``component`` the
-    smallest id reachable, for every id that has a link. Every round is two aggregations and two equi-joins on
-    narrow rows, written to the shared folder; the number of rounds grows with the logarithm of the longest
-    path. Links with a null end and self links are ignored; no links give an empty table.
+    A node with a large part of all links meets in no single task: minima are taken before the shuffle, too, and in each join one
+    side has unique keys and both come straight from a shuffle, so adaptive execution splits large partitions.
     """
-    def canonical(df: DataFrame) -> DataFrame:
-        return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    links = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
-    links = materialize(canonical(links), "links")
-    before = None
-    for _ in range(max_rounds):
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = canonical(small.union(low.select("u", F.col("m").alias("v"))))
-        after = materialize(step, "links")
-        drop_materialized(links)
-        links = after
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+    links = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
+    links = materialize(links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    point = materialize(links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("f")), "pointers")
+    for _ in range(0 if links.isEmpty() else max_rounds):
+        grand = point.join(point.select(F.col("node").alias("f"), F.col("f").alias("g")), "f").select("node", "f", "g")
+        near = links.join(grand.select(F.col("node").alias("v"), "g"), "v").groupBy(F.col("u").alias("node")).agg(F.min("g").alias("m"))
+        seen = grand.join(near, "node").withColumn("m", F.least("g", "m"))
+        told = seen.select("node", F.least("f", "m").alias("to"), "f", "g").unionByName(seen.where("m < f").select(F.col("f").alias("node"), F.col("m").alias("to")), allowMissingColumns=True)
+        after = told.groupBy("node").agg(F.min("to").alias("to"), F.max("f").alias("f"), F.max("g").alias("g"))
+        watch = Observation()
+        after = materialize(after.observe(watch, F.count_if((F.col("to") != F.col("f")) | (F.col("f") != F.col("g"))).alias("moved")).select("node", F.col("to").alias("f")), "pointers")
+        drop_materialized(point)
+        point = after
+        if not watch.get["moved"]:
             break
-        before = state
     else:
-        raise RuntimeError("components did not settle")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
+        if not links.isEmpty():
+            raise RuntimeError("components did not settle")
+    drop_materialized(links)
+    out = point.select("node", F.col("f").alias("component"))
+    out.materialized_path = point.materialized_path
+    return out
+
+
+def drawn_rows(rows: DataFrame, draw: Column, wanted: int, count: int, order: list[str]) -> DataFrame:
+    """About ``wanted`` of ``count`` rows by a 64-bit hash that is even over them, ``2 * wanted`` at most: those of the smallest hashes.
+
+    All rows, if there are no more. Rows of one hash are drawn together or not, as far as the bound allows, so where few
+    rows differ, those of the smallest hashes are taken up to ``wanted``, whatever the share."""
+    if count <= wanted:
+        return rows
+    drawn = rows.withColumn("_draw", F.shiftrightunsigned(draw, 1))
+    share = drawn.where(F.col("_draw") < int((1 << 63) * (wanted / count))).orderBy("_draw", *order).limit(2 * wanted)
+    return (share if len(share.select("_draw").take(1 + wanted // 4)) > wanted // 4 else drawn.orderBy("_draw", *order).limit(wanted)).drop("_draw")
 
 
 def utf8(column: str) -> Column:

@@ -10,7 +10,9 @@ bound suffices, and the survivors are verified on the sets themselves.
 No link between different sets is lost, yet nothing lists all pairs of a large group. In rounds, each set names the partner of
 the largest bound in another family, and families merge, until no pair across families passes the bound. Then every family is
 verified by itself: its texts meet tile by tile, and only links that join what wasn't joined come out. Equal sets are one node
-from the start.
+from the start. A group too large for one tile is first compared with a few of its members, in parts; what they join needs no
+further comparison within, so a large group of near copies costs in proportion to its members, and only tiles of different
+components meet.
 """
 
 from __future__ import annotations
@@ -25,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, M1, M2, bloom_filter, bloom_hits, chunks, connected_components, flat_bytes, materialize, mix, powers, runs, sifted, utf8
+from .common import BASE, M1, M2, bloom_filter, bloom_hits, chunks, connected_components, drop_materialized, flat_bytes, materialize, mix, powers, runs, sifted, utf8
 
 GROUPS = 64
 #: Points of an R-tree page, and children of an inner node.
 PAGE = 16
-#: Members of a bucket in one tile; larger buckets are joined tile by tile.
+#: Members of a bucket in one tile; n-grams of more documents are dealt out as groups of several tiles from the start.
 TILE = 2048
 #: Members of a family in one tile, for count vectors and for texts.
 FINE_TILE, FAMILY_TILE = 512, 256
+#: N-grams of all sets of a tile, on the average: fewer members share a tile where sets are large.
+TILE_GRAMS = 1 << 22
+#: Members that a group of several tiles is compared with first, and how often.
+PIVOTS, PIVOT_ROUNDS = 8, 2
 #: Every round at least halves the families that others are near to.
 MAX_ROUNDS = 40
 #: N-grams whose counts steer the order: a bound on what is broadcast (16 bytes each).
@@ -201,19 +207,26 @@ def _small_pairs(starts: np.ndarray, lengths: np.ndarray, component: np.ndarray,
             yield x[ok], y[ok], bound[ok]
 
 
-def _columns(table: pa.Table, ints: int) -> tuple[list[np.ndarray], np.ndarray]:
-    points = np.frombuffer(b"".join(table.column(ints).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
-    return [table.column(c).to_numpy() for c in range(ints)], points
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A count vector in 16-bit numbers, or in 32-bit ones where a count asks for them."""
+    return counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def unpack_counts(packed: list[bytes]) -> np.ndarray:
+    """Count vectors over ``GROUPS`` groups, one a row."""
+    if all(len(x) == 2 * GROUPS for x in packed):
+        return np.frombuffer(b"".join(packed), "<u2").reshape(-1, GROUPS).astype(np.int64)
+    return np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in packed]).astype(np.int64)
 
 
 def _nearest(num: int, den: int):
-    """From rows ``key, low, high, node, family, n, points`` in order of (key, low, high): for every member of a group the partner of
-    another family with the largest bound, as ``key, node, partner, score``. Members without a partner go."""
+    """From rows ``key, node, family, n, points`` in order of key: for every member of a bucket the partner of another family with the
+    largest bound, as ``key, node, partner, score``. Members without a partner go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, 3):
-            points = np.frombuffer(b"".join(table.column(6).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
-            key, low, high, node, family, size = (table.column(c).to_numpy() for c in range(6))
-            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
+        for table in runs(batches, 1):
+            points = unpack_counts(table.column(4).to_pylist())
+            key, node, family, size = (table.column(c).to_numpy() for c in range(4))
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             starts, lengths = cuts[:-1], np.diff(cuts)
             leaf = lengths <= PAGE
             found = [(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([s, s])) for x, y, s in _small_pairs(starts[leaf], lengths[leaf], family, size, points, num, den)]
@@ -243,53 +256,70 @@ def _nearest(num: int, den: int):
 def fine_counts(one: np.ndarray) -> bytes:
     """A set's count vector over groups in proportion to its size, deflated; halves of a vector add up to that over half the groups."""
     groups = 1 << int(np.clip((len(one) // 2).bit_length(), 6, 12))
-    return zlib.compress(np.minimum(np.bincount((one >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), 65535).astype("<u2").tobytes(), 1)
+    return zlib.compress(np.bincount((one >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups).astype("<u4").tobytes(), 1)
 
 
 def fine_points(packed: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(x), "<u2") for x in packed]
+    return [np.frombuffer(zlib.decompress(x), "<u4") for x in packed]
 
 
-def _joins(nodes: list[int], size: np.ndarray, own: np.ndarray, points: np.ndarray | None, sets: list[np.ndarray] | None, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links that join a group as far as similarities (with ``sets``) or else bounds do; pairs joined already are passed over."""
-    root = np.arange(len(nodes))
+def coarse_points(packed: list[bytes]) -> list[np.ndarray]:
+    return list(unpack_counts(packed))
+
+
+def _joins(nodes: list[int], size: np.ndarray, own: np.ndarray, part: np.ndarray, points: np.ndarray | None, sets: list[np.ndarray] | None, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links that join a group as far as similarities (with ``sets``) or else bounds do; pairs of one part or joined already are passed over."""
+    _, first, of = np.unique(part, return_index=True, return_inverse=True)
+    root = first[of]
+    tree = CountRTree(points.astype(np.int64), size) if points is not None and len(nodes) > 4 * PAGE else None
     for i in range(1, len(nodes)):
-        near = np.flatnonzero((root[:i] != root[i]) & (own[:i] | own[i]) & (size[:i] * den >= size[i] * num) & (size[i] * den >= size[:i] * num))
-        if points is not None and len(near):
+        if tree is not None:
+            near = np.sort(tree.query(points[i], size[i], num, den))
+            near = near[near < i]
+            near = near[(root[near] != root[i]) & (own[near] | own[i])]
             bound = np.minimum(points[near], points[i]).sum(1, dtype=np.int64)
-            keep = bound * (num + den) >= num * (size[near] + size[i])
-            near, bound = near[keep], bound[keep]
-            near = near[np.argsort(-(bound / (size[near] + size[i] - bound)), kind="stable")]
+        else:
+            near = np.flatnonzero((root[:i] != root[i]) & (own[:i] | own[i]) & (size[:i] * den >= size[i] * num) & (size[i] * den >= size[:i] * num))
+            if points is not None and len(near):
+                bound = np.minimum(points[near], points[i]).sum(1, dtype=np.int64)
+                keep = bound * (num + den) >= num * (size[near] + size[i])
+                near, bound = near[keep], bound[keep]
+        if points is not None and len(near):
+            near = near[np.argsort(-(bound / np.maximum(1, size[near] + size[i] - bound)), kind="stable")]
         for j in near.tolist():
             if root[j] == root[i]:
                 continue
-            if sets is not None:
-                spot = np.searchsorted(sets[j], sets[i])
-                spot[spot == size[j]] = 0
-                met = int((sets[j][spot] == sets[i]).sum())
-                if den * met < num * (size[i] + size[j] - met):
-                    continue
+            if sets is not None and not _similar(sets[i], sets[j], num, den):
+                continue
             root[root == root[i]] = root[j]
             yield nodes[i], nodes[j]
 
 
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets, not empty, reach the similarity num / den."""
+    spot = np.searchsorted(y, x)
+    spot[spot == len(y)] = 0
+    met = int((y[spot] == x).sum())
+    return den * met >= num * (len(x) + len(y) - met)
+
+
 def _folded(vectors: list[np.ndarray]) -> np.ndarray:
     """Count vectors over as many groups as the shortest has."""
     least = min(len(v) for v in vectors)
-    return np.stack([v if len(v) == least else np.minimum(v.reshape(-1, least).sum(0), 65535).astype(np.uint16) for v in vectors])
+    return np.stack([v.astype(np.int64) if len(v) == least else v.reshape(-1, least).sum(0, dtype=np.int64) for v in vectors])
 
 
 def family_links(unpack: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int, exact: bool = True):
-    """From rows ``family, low, high, node, n, own, packed`` in order of (family, low, high), links ``a, b`` within each group.
+    """From rows ``family, low, high, node, n, own, part, packed`` in order of (family, low, high), links ``a, b`` within each group.
 
     ``unpack`` turns packed bytes to sorted hashes of sets (``exact``) or count vectors. Pairs of which no member is ``own`` are
-    another group's; all others are bounded by count vectors, unless links found so far join them, and then verified on
-    the sets, if there are any."""
+    another group's, members of a ``part`` are joined already; all others are bounded by count vectors, unless links found so far
+    join them, and then verified on the sets, if there are any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3):
             family, low, high = (table.column(c).to_numpy() for c in range(3))
             bounds = np.flatnonzero(np.concatenate([[True], (family[1:] != family[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]])).tolist()
-            nodes, size, own, packed = table.column(3).to_pylist(), table.column(4).to_numpy(), table.column(5).to_numpy(), table.column(6)
+            nodes, size, own, part, packed = table.column(3).to_pylist(), table.column(4).to_numpy(), table.column(5).to_numpy(), table.column(6).to_numpy(), table.column(7)
             found: list[tuple[int, int]] = []
             held: list[np.ndarray] = []
             done = offset = 0
@@ -297,15 +327,15 @@ def family_links(unpack: Callable[[list[bytes]], list[np.ndarray]], num: int, de
                 held += unpack(packed.slice(a, b - a).to_pylist())
                 while done + 1 < len(bounds) and bounds[done + 1] <= b:
                     s, e = bounds[done], bounds[done + 1]
-                    part = held[s - offset:e - offset]
+                    group = held[s - offset:e - offset]
                     if e - s > 1:
                         points = None
                         if not exact:
-                            points = _folded(part)
+                            points = _folded(group)
                         elif e - s > 2:
                             groups = 1 << int(np.clip((int(size[s:e].max()) // 2).bit_length(), 6, 11))
-                            points = np.stack([np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), 65535) for x in part]).astype(np.uint16)
-                        found += _joins(nodes[s:e], size[s:e], own[s:e], points, part if exact else None, num, den)
+                            points = np.stack([np.bincount((x >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups) for x in group]).astype(np.uint32)
+                        found += _joins(nodes[s:e], size[s:e], own[s:e], part[s:e], points, group if exact else None, num, den)
                     done += 1
                 if bounds[done] > offset:
                     held, offset = held[bounds[done] - offset:], bounds[done]
@@ -314,20 +344,93 @@ def family_links(unpack: Callable[[list[bytes]], list[np.ndarray]], num: int, de
     return run
 
 
-def join_families(families: DataFrame, packed: DataFrame, tile: int, links: Callable, num: int, den: int) -> DataFrame:
-    """``a, b``: what ``links`` finds among the members of each family (``node, family``), given ``node, n, packed``.
+def pivot_links(unpack: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int, exact: bool = True):
+    """From rows ``family, salt, pivot, node, n, packed`` in order of (family, salt), links ``family, a, b`` of members with the pivots that came along."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 2):
+            family, salt, chosen = (table.column(c).to_numpy() for c in range(3))
+            bounds = np.flatnonzero(np.concatenate([[True], (family[1:] != family[:-1]) | (salt[1:] != salt[:-1]), [True]])).tolist()
+            node, size, packed = table.column(3).to_numpy(), table.column(4).to_numpy(), table.column(5)
+            found: list[tuple[int, int, int]] = []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                heads = s + np.flatnonzero(chosen[s:e])
+                rest = s + np.flatnonzero(~chosen[s:e])
+                pivots = unpack(packed.take(pa.array(heads)).to_pylist())
+                for a, b in chunks(np.array([len(packed[i].as_py()) for i in rest.tolist()], np.int64) * 4):
+                    for i, one in zip(rest[a:b].tolist(), unpack(packed.take(pa.array(rest[a:b])).to_pylist())):
+                        for h, other in zip(heads.tolist(), pivots):
+                            if node[h] == node[i]:
+                                found.append((family[i], node[i], node[h]))
+                                continue
+                            if size[i] * den < size[h] * num or size[h] * den < size[i] * num:
+                                continue
+                            if exact:
+                                met = _similar(one, other, num, den)
+                            else:
+                                bound = int(np.minimum(*_folded([one, other])).sum())
+                                met = bound * (num + den) >= num * (int(size[i]) + int(size[h]))
+                            if met:
+                                found.append((family[i], node[i], node[h]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["family", "a", "b"])
+
+    return run
+
+
+def join_families(families: DataFrame, packed: DataFrame, tile: int, unpack: Callable, num: int, den: int, exact: bool = True) -> DataFrame:
+    """``a, b``: links that join the members of each family (``node, family``) as far as their similarities do, given ``node, n, packed``.
 
     A family falls into classes of sizes so wide that similar sets stand in one or two neighbours: a class meets itself and the
-    class below. Classes of many members meet tile by tile."""
+    class below. A class of several tiles is compared with ``PIVOTS`` of its members first; then its tiles meet pair by pair,
+    but for those of one component."""
     width = math.log(den / num) * 1.000001
     level = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / width)
     placed = families.join(packed.select("node", "n"), "node").withColumn("level", level)
     placed = placed.select("node", "n", "family", F.explode(F.array(F.struct(F.col("level").alias("at"), F.lit(True).alias("own")), F.struct((F.col("level") + 1).alias("at"), F.lit(False).alias("own")))).alias("group"))
-    placed = placed.select("node", "n", "group.own", F.xxhash64("family", "group.at").alias("family"))
-    sizes = placed.groupBy("family").agg(F.count("*").alias("m"), F.max("own").alias("some")).where("m > 1 and some").select("family", F.floor((F.col("m") - 1) / tile).alias("last_tile"))
-    dealt = placed.join(sizes, "family").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("last_tile") + 1)).drop("last_tile")
-    dealt = tiled(dealt, sizes, "family").join(packed.select("node", "packed"), "node").select("family", "low", "high", "node", "n", "own", "packed")
-    return dealt.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(links, "a long, b long")
+    placed = materialize(placed.select("node", "n", "group.own", F.xxhash64("family", "group.at").alias("family")), "placed")
+    tiles = lambda count, grams: (F.floor(F.greatest((F.col(count) - 1) / tile, F.col(grams) / TILE_GRAMS)) + 1).cast("long")
+    sizes = placed.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("grams"), F.max("own").alias("some")).where("m > 1 and some")
+    sizes = materialize(sizes.select("family", tiles("m", "grams").alias("tiles")), "sizes")
+    zero = F.lit(0).cast("long")
+    dealt = placed.join(sizes.where("tiles = 1"), "family").select("family", zero.alias("low"), zero.alias("high"), "node", "n", "own", F.col("node").alias("part"))
+    found, scratch = [], []
+    if not sizes.where("tiles > 1").isEmpty():
+        crowd = materialize(placed.join(sizes.where("tiles > 1"), "family").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("tiles"))), "crowd")
+        left = crowd
+        for k in range(PIVOT_ROUNDS):
+            drawn = [F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS * k + i)), "node"))["node"] for i in range(PIVOTS)]
+            pivots = left.groupBy("family", "tiles").agg(F.array_distinct(F.array(*drawn)).alias("nodes")).select("family", "tiles", F.explode("nodes").alias("node"))
+            pivots = pivots.join(packed.select("node", "n", "packed"), "node").withColumn("salt", F.explode(F.sequence(zero, F.col("tiles") - 1)))
+            members = crowd.select("family", "salt", F.lit(False).alias("pivot"), "node").join(packed.select("node", "n", "packed"), "node")
+            rows = members.select("family", "salt", "pivot", "node", "n", "packed").unionByName(pivots.select("family", "salt", F.lit(True).alias("pivot"), "node", "n", "packed"))
+            rows = rows.repartition("family", "salt").sortWithinPartitions("family", "salt")
+            found.append(materialize(rows.mapInArrow(pivot_links(unpack, num, den, exact), "family long, a long, b long"), "pivots"))
+            left = left.join(found[-1].select("family", F.col("a").alias("node")).distinct(), ["family", "node"], "left_anti")
+            if left.isEmpty():
+                break
+        links = found[0]
+        for more in found[1:]:
+            links = links.unionByName(more)
+        parts = connected_components(links, "a", "b")
+        scratch = [crowd, parts]
+        crowd = crowd.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        # Components of more than half a tile have tiles of their own, the others share some.
+        counted = crowd.groupBy("family", "part").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+        counted = counted.withColumn("slot", F.when((F.col("m") * 2 > tile) | (F.col("grams") * 2 > TILE_GRAMS), F.col("part").cast("string")).otherwise("rest"))
+        slots = counted.groupBy("family", "slot").agg(F.sum("m").alias("m"), F.sum("grams").alias("grams"), F.count("*").alias("parts")).withColumn("own_tiles", tiles("m", "grams"))
+        whole = slots.groupBy("family").agg(F.sum("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("slot", "own_tiles"))).alias("slots")).where("parts > 1")
+        whole = materialize(whole.select("family", F.flatten(F.transform("slots", lambda x: F.transform(F.sequence(zero, x["own_tiles"] - 1), lambda i: F.struct(x["slot"].alias("slot"), i.alias("nth"), x["own_tiles"].alias("of"))))).alias("tiles")), "slots")
+        scratch.append(whole)
+        spread = crowd.drop("tiles").join(whole, "family").join(counted.select("family", "part", "slot"), ["family", "part"])
+        spread = spread.select("family", "node", "n", "own", "part", "slot", "tiles", F.explode(F.filter(F.transform("tiles", lambda t, i: F.struct(t["slot"].alias("slot"), i.cast("long").alias("at"), (t["nth"] == F.pmod(F.xxhash64("node"), t["of"])).alias("hit"))), lambda t: (t["slot"] == F.col("slot")) & t["hit"])).alias("mine"))
+        spread = spread.withColumn("with", F.explode(F.filter(F.transform("tiles", lambda t, i: F.struct(t["slot"].alias("slot"), i.cast("long").alias("at"))), lambda t: (t["slot"] != F.col("slot")) | (F.col("slot") == "rest"))))
+        dealt = dealt.unionByName(spread.select("family", F.least("mine.at", "with.at").alias("low"), F.greatest("mine.at", "with.at").alias("high"), "node", "n", "own", "part"))
+    dealt = dealt.join(packed.select("node", "packed"), "node").select("family", "low", "high", "node", "n", "own", "part", "packed")
+    out = dealt.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(family_links(unpack, num, den, exact), "a long, b long")
+    for more in found:
+        out = out.unionByName(more.select("a", "b"))
+    out = materialize(out, "joined")
+    drop_materialized(placed, sizes, *scratch, *found)
+    return out
 
 
 def _texts(nodes: DataFrame, rows: DataFrame, points: DataFrame, words: int) -> DataFrame:
@@ -351,13 +454,17 @@ def _texts(nodes: DataFrame, rows: DataFrame, points: DataFrame, words: int) ->
 
     again = rows.mapInArrow(regain, "doc_id long, node long, n long, fine binary, packed binary").alias("r")
     same = (F.col("r.node") == F.col("c.node")) & F.col("r.doc_id").eqNullSafe(F.col("c.doc_id"))
-    return materialize(again.join(chosen.hint("shuffle_hash").alias("c"), same, "left_semi").dropDuplicates(["node"]).select("node", "n", "fine", "packed"), "texts")
+    out = materialize(again.join(chosen.hint("shuffle_hash").alias("c"), same, "left_semi").dropDuplicates(["node"]).select("node", "n", "fine", "packed"), "texts")
+    drop_materialized(chosen)
+    return out
 
 
-def tiled(rows: DataFrame, tiles: DataFrame, by: str) -> DataFrame:
-    """Rows with ``by`` and ``tile``, repeated for every pair ``low, high`` of tiles of their group; ``tiles`` has the last tile of groups of several."""
-    out = rows.join(tiles, by, "left").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last_tile", F.lit(0).cast("long")))))
-    return out.withColumn("low", F.least("tile", "with")).withColumn("high", F.greatest("tile", "with")).drop("with", "last_tile")
+def _families(edges: DataFrame) -> DataFrame:
+    """``node, family`` of what links ``a, b`` connect."""
+    found = connected_components(edges, "a", "b")
+    out = found.withColumnRenamed("component", "family")
+    out.materialized_path = found.materialized_path
+    return out
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,20 +478,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     last, weight = frequent_grams(rows, words)
     steer = docs.sparkSession.sparkContext.broadcast((last, weight))
+    crowded = int(math.log2(TILE)) + 1  # the rank from which an n-gram's documents are a group of several tiles
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, weight = steer.value
         seen: set[int] = set()  # copies within this partition bring nothing new
         for ids, sets in _sets(batches, words):
-            nodes, sizes, keys, points = [], [], [], []
+            nodes, sizes, keys, hot, points = [], [], [], [], []
             for one in sets:
                 n = len(one)
                 node = _node(one) if n else None
                 nodes.append(node)
                 sizes.append(n)
                 if not n or node in seen:
-                    keys.append(None)
-                    points.append(None)
+                    for column in (keys, hot, points):
+                        column.append(None)
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
@@ -393,56 +501,76 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
                 spot = np.searchsorted(last, one)
                 spot[spot == len(last)] = 0
                 rank = np.where(last[spot] == one, weight[spot] + np.uint64(1), np.uint64(0)) if len(last) else np.zeros(n, np.uint64)
-                keys.append(one[np.lexsort((one, rank))[:size]].view(np.int64))
-                points.append(np.minimum(np.bincount((one >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())], ["doc_id", "n", "node", "keys", "points"])
-
-    described = materialize(rows.mapInArrow(describe, "doc_id long, n long, node long, keys array<long>, points binary"), "shingles")
+                first = np.lexsort((one, rank))[:size]
+                chosen, often = one[first].view(np.int64), rank[first] >= crowded
+                keys.append(chosen[~often])
+                hot.append(chosen[often])
+                points.append(pack_counts(np.bincount((one >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), pa.array(points, pa.binary())], ["doc_id", "n", "node", "keys", "hot", "points"])
+
+    described = materialize(rows.mapInArrow(describe, "doc_id long, n long, node long, keys array<long>, hot array<long>, points binary"), "shingles")
     keyed = described.where("keys is not null").select(F.explode("keys").alias("key"), "n", "node")
     members = materialize(keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(members_of(TILE), "key long, n long, node long, tile long"), "members")
-    shared = members.select("node").distinct()
+    # Buckets of several tiles: n-grams known to stand in many documents, and any that turn out to.
+    large = materialize(members.where("tile > 0").select("key").distinct(), "large")
+    groups = described.where("size(hot) > 0").select("node", F.explode("hot").alias("family"))
+    if not large.isEmpty():
+        groups = groups.unionByName(members.join(large, "key").select("node", F.col("key").alias("family")))
+        members = materialize(members.join(large, "key", "left_anti"), "members")
+    groups = materialize(groups.distinct(), "groups")
+    shared = members.select("node").union(groups.select("node")).distinct()
     points = described.where("keys is not null").join(shared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("points").alias("points"))
     points = materialize(points, "points")
+    sets = materialize(described.select("doc_id", "n", "node"), "sets")
+    drop_materialized(described)
 
     # Families: each round, every set names its nearest partner by the bound in another family, until none has one.
-    edges, families = None, None
-    tiles = materialize(members.where("tile > 0").groupBy("key").agg(F.max("tile").alias("last_tile")), "tiles")
-    places = members.select("key", F.col("node").alias("placed"), "tile") if not tiles.isEmpty() else None
+    found, families, nearest = [], None, None
+    if not groups.isEmpty():
+        found.append(join_families(groups, points.select("node", "n", F.col("points").alias("packed")), TILE, coarse_points, num, den, exact=False))
+        families = _families(found[0])
+    bucketed, members = members, members.select("key", "node")
     for _ in range(MAX_ROUNDS):
-        at = members.select("key", "tile", "node") if families is None else members.select("key", "tile", "node").join(families, "node", "left")
+        at = members if families is None else members.join(families, "node", "left")
         at = at.join(points.select("node", "n", "points"), "node").withColumn("family", F.col("node") if families is None else F.coalesce("family", "node"))
-        at = at.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(0).cast("long")) if places is None else tiled(at, tiles, "key")
-        dealt = at.select("key", "low", "high", "node", "family", "n", "points").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-        nearest = materialize(dealt.mapInArrow(_nearest(num, den), "key long, node long, partner long, score double"), "nearest")
+        dealt = at.select("key", "node", "family", "n", "points").repartition("key").sortWithinPartitions("key")
+        before, nearest = nearest, materialize(dealt.mapInArrow(_nearest(num, den), "key long, node long, partner long, score double"), "nearest")
+        drop_materialized(before)
         new = nearest.groupBy("node").agg(F.max_by("partner", F.struct("score", "partner")).alias("partner"))
         new = materialize(new.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct(), "near")
         if new.isEmpty():
             break
-        edges = new if edges is None else edges.unionByName(new)
-        families = materialize(connected_components(edges, "a", "b").select("node", F.col("component").alias("family")), "families")
-        members = nearest.select("key", "node", F.lit(0).cast("long").alias("tile")) if places is None else nearest.select("key", "node").distinct().join(places.select("key", F.col("placed").alias("node"), "tile"), ["key", "node"])
+        found.append(new)
+        edges = found[0]
+        for more in found[1:]:
+            edges = edges.unionByName(more)
+        drop_materialized(families)
+        families = _families(edges)
+        members = nearest.select("key", "node")
     else:
         raise RuntimeError("families did not settle")
+    drop_materialized(bucketed, nearest, large, groups, *found)
 
     # Links stand within families. Fine count vectors split them first; then their texts meet, as far as links found don't join them.
-    if families is None:
-        first = described.where("false").select("node", F.col("node").alias("component"))
+    if not found:
+        first = sets.where("false").select("node", F.col("node").alias("component"))
     else:
         def unpack(packed: list[bytes]) -> list[np.ndarray]:
             raw = [zlib.decompress(x) for x in packed]
             return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), words)
 
         texts = _texts(families.select("node"), rows, points, words)
-        closer = join_families(families, texts.select("node", "n", F.col("fine").alias("packed")), FINE_TILE, family_links(fine_points, num, den, exact=False), num, den)
-        closer = materialize(connected_components(closer, "a", "b").select("node", F.col("component").alias("family")), "families")
-        joined = join_families(closer, texts.select("node", "n", "packed"), FAMILY_TILE, family_links(unpack, num, den), num, den)
+        closer = join_families(families, texts.select("node", "n", F.col("fine").alias("packed")), FINE_TILE, fine_points, num, den, exact=False)
+        split = _families(closer)
+        joined = join_families(split, texts.select("node", "n", "packed"), FAMILY_TILE, unpack, num, den)
         first = connected_components(joined, "a", "b")
-    first = materialize(first, "labels")
-    nodes = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+        drop_materialized(texts, families, closer, split, joined)
+    drop_materialized(points)
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     nodes = nodes.join(first, "node", "left").withColumn("whole", F.coalesce("component", "node")).drop("component")
     grouped = nodes.groupBy("whole").agg(F.min("least").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
     names = nodes.select("node", "whole").join(grouped, "whole").select("node", "component_id")
-    out = described.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("set_id"))
 
 
