@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import M1, M2, chunks, flat_bytes, utf8
+from .common import M1, M2, chunks, drawn_rows, flat_bytes, utf8
 from .jaccard import word_bounds, word_hashes
 
 #: Hashed features.
 DIMENSIONS = 2048
-#: Documents the scorer is fitted on, drawn by a hash; the vote patterns are counted over all.
+#: Documents the scorer is fitted on, about, drawn by a hash; the vote patterns are counted over all.
 FIT_ROWS = 8192
 #: Documents with a lower score are rejected.
 THRESHOLD = 0.5
@@ -98,7 +98,9 @@ class LabelModel:
 
     @staticmethod
     def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
-        """Expectation-maximisation from the guess that a document is good unless a heuristic calls it bad."""
+        """Expectation-maximisation from the guess that a document is good unless a heuristic calls it bad.
+
+        The share of good documents is kept within 0.01 and 0.99, and rates within 0.001 and 0.999, so that no pattern is certain."""
         cast, silent = _cast(codes)
         says_bad = np.array([h[1] == "bad" for h in HEURISTICS])
         posterior, model = np.where((cast & says_bad).any(1), 0.05, 0.95), LabelModel(0.5, np.full((2, len(HEURISTICS)), 0.5))
@@ -106,7 +108,7 @@ class LabelModel:
             weight = np.stack([counts * (1 - posterior), counts * posterior])
             # Four pseudo-documents a class say that votes are mostly right.
             model.rate = np.clip((weight @ cast + np.where(says_bad, [[2.0], [0.02]], [[0.5], [2.0]])) / (weight @ (cast | silent) + 4), 0.001, 0.999)
-            model.good = float(np.clip((weight[1].sum() + 1) / (counts.sum() + 2), 0.5, 0.99))
+            model.good = float(np.clip((weight[1].sum() + 1) / (counts.sum() + 2), 0.01, 0.99))
             before, posterior = posterior, model.posterior(codes)
             if np.abs(before - posterior).max(initial=0.0) < 1e-9:
                 break
@@ -183,7 +185,10 @@ def _documents(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, n
 
 
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> QualityModel:
-    """Fit the label model on the vote patterns of all documents and the scorer on at most ``2 * fit_rows`` of them, drawn by a hash of the id."""
+    """Fit the label model on the vote patterns of all documents and the scorer on about ``fit_rows`` of them (twice as many at most).
+
+    These are drawn by a hash of id and text, so ids may repeat or be null; null texts count as empty ones. No rows give a scorer
+    that knows nothing (0.5 for every text)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +208,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at = pa.array(cuts, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pattern_codes(votes(stats))), pa.ListArray.from_arrays(at, pa.array(index, pa.int32())), pa.ListArray.from_arrays(at, pa.array(value, pa.float32()))], ["doc_id", "pattern", "at", "value"])
 
-    share = min(1.0, fit_rows / max(1, int(counts.sum())))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * fit_rows) if share < 1 else rows
+    drawn = drawn_rows(rows, F.xxhash64("doc_id", "text"), fit_rows, int(counts.sum()), ["doc_id", "text"])
     found = drawn.mapInArrow(sample, "doc_id long, pattern long, at array<int>, value array<float>").toArrow()
     if not found.num_rows:
         return QualityModel(labels, Scorer(np.zeros(DIMENSIONS), 0.0))
