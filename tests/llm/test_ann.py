@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row
 
 from seqcomplexity.llm import ann
@@ -30,16 +31,46 @@ def test_recall_on_table(spark):
     assert all(sorted(f) == [1, 2, 3, 4, 5] and [f[i].score for i in f] == sorted((f[i].score for i in f), reverse=True) or [f[i].score for i in sorted(f)] == sorted((f[i].score for i in f), reverse=True) for f in found.values())
 
 
-def test_recall_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 300)
+def test_recall_across_blocks(spark):
+    """20,000 random vectors in several blocks: a query's 100 reranked codes, of all blocks, hold its nearest."""
     rng = np.random.default_rng(2)
-    rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(1500)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    exact = brute(rows, 5, 50)
+    vectors = rng.normal(size=(20_000, 32)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(20_000), pa.int64()), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))}))
+    assert ann.RERANK < ann.BLOCK / 40 and 20_000 > 4 * ann.BLOCK
+    unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    found = {}
+    for r in ann.nearest_neighbours(df, every=200).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 200):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(found[q] & set(np.argsort(-score, kind="stable")[:5].tolist()))
+    assert len(found) == 100 and hits / 500 >= 0.95
+
+
+def test_codes_decide(spark):
+    """With one candidate reranked, the best by code comes out: mostly, but not always, the nearest."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    exact = brute([(r.vec_id, r.embedding) for r in df.collect()], 1, 50)
+    rows = ann.nearest_neighbours(df, k=5, rerank=1).collect()
+    assert [r.rank for r in rows] == [1] * len(exact)
+    share = sum(exact[r.query_id] == [r.vec_id] for r in rows) / len(exact)
+    assert 0.3 < share < 1.0
+
+
+def test_ties_and_doubles(spark):
+    """Equal vectors come by id, however many there are; doubles keep their bits and their range."""
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(300)] + [(1000 + i, [1e200, 1e200 * (1 + i * 1e-12), -1e199]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = {}
     for r in ann.nearest_neighbours(df).collect():
-        found.setdefault(r.query_id, []).append(r.vec_id)
-    assert sum(len(set(found[q]) & set(exact[q])) for q in exact) / (5 * len(exact)) >= 0.95
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == {0, 50, 100, 150, 200, 250, 1000}
+    for q in range(0, 300, 50):
+        assert [v for _, v, _ in sorted(found[q])] == [v for v in range(6) if v != q][:5]
+    own = sorted(found[1000])
+    assert [v for _, v, _ in own[:2]] in ([1001, 1002], [1002, 1001]) and all(abs(s - 1) < 1e-9 for _, _, s in own[:2])
 
 
 def test_edges(spark):
