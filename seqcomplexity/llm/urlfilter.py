@@ -25,18 +25,30 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return at.withColumn("valid_to", then).where("action <> 'remove'").select("key", "action", "valid_from", "valid_to")
 
 
-def url_keys(captures: DataFrame) -> DataFrame:
-    """Add ``host`` (lower case, without user, port and final dot; empty if there is none) and ``keys``: every parent domain of the
-    host, and the host with each run of leading path segments."""
+def url_parts(captures: DataFrame) -> DataFrame:
+    """Add ``host`` (lower case, without user, port and final dot; empty if there is none), its ``labels``, and the path's ``steps``."""
     authority = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     host = F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@|:[0-9]*$", "")), r"\.+$", "")
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     rows = captures.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("labels", F.split("host", r"\."))
-    rows = rows.withColumn("steps", F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != ""))
-    domains = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
-    paths = F.transform(F.sequence(F.lit(1), F.size("steps")), lambda i: F.concat("host", F.lit("/"), F.array_join(F.slice("steps", 1, i), "/")))
-    keys = F.when(F.col("host") == "", F.array().cast("array<string>")).when(F.size("steps") == 0, domains).otherwise(F.concat(domains, paths))
-    return rows.withColumn("keys", keys).drop("labels", "steps")
+    return rows.withColumn("steps", F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != ""))
+
+
+def url_keys(captures: DataFrame, entries: DataFrame) -> DataFrame:
+    """A row with ``host`` and ``tried`` for each key that may match: the parent domains of the host, and the host with each run of
+    leading path segments, as far as keys of the list have so many labels or segments, and one with a null key for every capture.
+
+    So a URL's keys grow with the list's longest key, not with the square of the URL's length."""
+    parts = F.split("key", "/")
+    longest = entries.where("key is not null").agg(F.max(F.size(F.split(parts[0], r"\."))).alias("labels"), F.max(F.size(parts) - 1).alias("steps"))
+    most = lambda c: F.coalesce(longest.select(c).scalar(), F.lit(0))
+    rows = url_parts(captures).withColumn("most_labels", F.least(F.size("labels"), most("labels"))).withColumn("most_steps", F.least(F.size("steps"), most("steps")))
+    rows = rows.withColumn("labels", F.slice("labels", F.size("labels") - F.col("most_labels") + 1, F.col("most_labels"))).withColumn("steps", F.slice("steps", F.lit(1), F.col("most_steps")))
+    rows = rows.withColumn("which", F.explode(F.when(F.col("host") == "", F.array(F.lit(0))).otherwise(F.sequence(-F.col("most_labels"), F.col("most_steps")))))
+    domain = F.array_join(F.slice("labels", F.size("labels") + F.col("which") + 1, -F.col("which")), ".")
+    prefix = F.concat("host", F.lit("/"), F.array_join(F.slice("steps", F.lit(1), F.col("which")), "/"))
+    tried = F.when(F.col("which") < 0, domain).when(F.col("which") > 0, prefix)
+    return rows.withColumn("tried", tried).drop("labels", "steps", "most_labels", "most_steps", "which")
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -45,14 +57,14 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     The most specific active entry decides: a longer path, then a longer domain; a capture without one is kept.
     Returns one row for each capture row: ``page_id, host, fetched_at, blocked, matched_key, valid_from, valid_to``.
     A null or relative URL has host ``''`` and matches nothing, nor does a null fetch time; repeated rows each get
-    their row; empty tables are fine; other columns are ignored.
+    their row; very long URLs are tried as deep as the list's keys go; empty tables are fine; other columns are ignored.
 
     Repeated captures are counted before the shuffle and restored at the end. The join is on key and salt with
     the list side repeated ``SALTS`` times, so a hot host spreads; a small list is broadcast by Spark's own size check.
     """
     rows = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(time_col).cast("long").alias("fetched_at")).groupBy("page_id", "url", "fetched_at").agg(F.count("*").alias("copies"))
     salt = F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS))
-    tried = url_keys(rows).withColumn("salt", salt).withColumn("tried", F.explode_outer("keys")).drop("keys")
+    tried = url_keys(rows, entries).withColumn("salt", salt)
     spans = validity_intervals(entries).withColumn("list_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     active = (F.col("tried") == F.col("key")) & (F.col("salt") == F.col("list_salt")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     rank = F.struct(F.contains(F.col("key"), F.lit("/")).alias("path"), F.length("key").alias("length"), "key", "action", "valid_from", "valid_to")
@@ -71,7 +83,7 @@ def dated_captures(pages: DataFrame) -> DataFrame:
 
 def dated_entries(captures: DataFrame) -> DataFrame:
     """For every host seen: a block entry, its removal, a later block again and an allowed path; for every parent domain a block entry."""
-    hosts = url_keys(captures.select("url").distinct()).where("host <> ''").select("host").distinct()
+    hosts = url_parts(captures.select("url").distinct()).where("host <> ''").select("host").distinct()
     digit = lambda i: F.conv(F.substring(F.md5("host"), i, 3), 16, 10).cast("long")
     day = lambda x: (F.lit(_EPOCH) + x * _DAY).cast("long")
     first, held, again = digit(1) % 200, digit(4) % 90 + 1, digit(7) % 60 + 1

@@ -1,4 +1,7 @@
+import time
+
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from seqcomplexity.llm import chat, urlfilter
 
@@ -42,6 +45,28 @@ def test_captures_against_plain_evaluation(spark):
     assert not any(r.blocked for r in urlfilter.filter_captures(df, lists(spark, [])).collect())
 
 
+def test_long_urls(spark):
+    """Twice the segments take about twice the time: only prefixes as deep as the list's keys are tried."""
+    entries = lists(spark, [("a.com/x/x", "block", 5), ("com", "allow", 1)])
+    took = []
+    for n in (100_000, 200_000):
+        df = spark.createDataFrame([(1, "http://a.com/" + "x/" * n, 10), (2, "http://" + "l." * n + "com/", 10)], "page_id long, url string, fetched_at long")
+        urlfilter.filter_captures(df, entries).collect()
+        begin = time.perf_counter()
+        rows = {r.page_id: (r.blocked, r.matched_key) for r in urlfilter.filter_captures(df, entries).collect()}
+        took.append(time.perf_counter() - begin)
+        assert rows == {1: (True, "a.com/x/x"), 2: (False, "com")}
+    assert took[1] < 2.5 * took[0] + 1
+
+
+def test_dominating_conversation(spark):
+    """A conversation with nearly all turns, of many participants: every view is whole and offsets add up."""
+    rows = [(1, i, f"p{i % 30}", "x" * (i % 5)) for i in range(1500)] + [(2, 0, "user", "hi")]
+    out = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    views = {(r.conv_id, r.perspective): r for r in out.groupBy("conv_id", "perspective").agg(F.count("*").alias("n"), F.sum(F.length("segment")).alias("size"), F.max("segment_end").alias("end"), F.max("position").alias("last"), F.count("mask_start").alias("spoken")).collect()}
+    assert len(views) == 31 and all((v.n, v.size, v.last, v.spoken) == (1500, v.end, 1499, 50) for k, v in views.items() if k[0] == 1)
+
+
 def render(rows, me):
     out, spans = "", []
     for turn, role, text in rows:
