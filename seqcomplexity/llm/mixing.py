@@ -20,6 +20,8 @@ BLOCK_TOKENS = 1 << 17
 TARGET_ENTROPY, MAX_EPOCHS = 0.999, 2.0
 #: Steps of the bisection; the exponent is then rounded to six places.
 STEPS = 50
+#: Parts of an epoch's order of blocks.
+STRETCHES = 256
 
 
 def _entropy(weights: list[float]) -> float:
@@ -68,7 +70,7 @@ def _fraction(*parts: Column | str) -> Column:
 
 
 def mix_plan(docs: DataFrame, tokens: Column | str, target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The mix as rows ``doc_id, copy, source, n_tokens, epoch, epoch_block, block, place``: a document each time it is visited.
+    """The mix as rows ``doc_id, copy, source, n_tokens, epoch, epoch_block, block, place, position``: a document each time it is visited.
 
     The budget is the least that passes over every source at least once, so nothing is dropped, and sources of smaller shares are
     repeated up to ``max_epochs`` times. ``epoch_block`` is the place of the block in its epoch, ``place`` that of the document in the
@@ -76,8 +78,8 @@ def mix_plan(docs: DataFrame, tokens: Column | str, target_entropy: float = TARG
     in the first epoch. Rows that repeat id, source and count are counted first and told apart by ``copy`` (from 1). Other columns
     are ignored; an empty table gives an empty table.
 
-    No task sees a whole source: blocks follow from a hash of document and copy, and only the table of blocks, smaller by the
-    documents of a block, is ordered by source.
+    No task sees a whole source: blocks follow from a hash of document and copy, and an epoch's order of blocks, which follows from
+    a hash too, is summed in ``STRETCHES`` parts of its range first and then within each.
     """
     n = tokens if isinstance(tokens, Column) else F.col(tokens)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.greatest(F.coalesce(n.cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
@@ -96,15 +98,23 @@ def mix_plan(docs: DataFrame, tokens: Column | str, target_entropy: float = TARG
     full = F.when(F.col("total") > 0, F.floor(F.col("budget") / F.greatest("total", F.lit(1)))).otherwise(1)
     rest = F.when(F.col("total") > 0, F.col("budget") % F.greatest("total", F.lit(1))).otherwise(0)
     blocks = blocks.withColumn("full", full.cast("int")).withColumn("rest", rest.cast("long")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - F.when(F.col("rest") > 0, 0).otherwise(1))))
-    in_epoch = W.partitionBy("source", "epoch").orderBy(_fraction(F.lit("order"), "source", "epoch", "block"), "block")
-    blocks = blocks.withColumn("epoch_block", F.row_number().over(in_epoch) - 1).withColumn("before", F.coalesce(F.sum("block_tokens").over(in_epoch.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    blocks = blocks.where((F.col("epoch") < F.col("full")) | (F.col("before") < F.col("rest"))).select(F.col("source").alias("of"), F.col("block").alias("b"), "epoch", "epoch_block", "before", "full", "rest")
+    blocks = blocks.withColumn("draw", _fraction(F.lit("order"), "source", "epoch", "block")).withColumn("stretch", F.floor(F.col("draw") * STRETCHES / (1 << 32)))
+    parts = blocks.groupBy("source", "epoch", "stretch").agg(F.sum("block_tokens").alias("part_tokens"), F.count("*").alias("part_blocks"))
+    ahead = W.partitionBy("source", "epoch").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("stretch").alias("r"), F.coalesce(F.sum("part_tokens").over(ahead), F.lit(0)).alias("part_start"), F.coalesce(F.sum("part_blocks").over(ahead), F.lit(0)).alias("part_first"))
+    within = W.partitionBy("source", "epoch", "stretch").orderBy("draw", "block")
+    blocks = blocks.withColumn("nth", F.row_number().over(within) - 1).withColumn("prior", F.coalesce(F.sum("block_tokens").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("stretch") == F.col("r")))
+    blocks = blocks.withColumn("epoch_block", (F.col("part_first") + F.col("nth")).cast("int")).withColumn("before", F.col("part_start") + F.col("prior"))
+    blocks = blocks.where((F.col("epoch") < F.col("full")) | (F.col("before") < F.col("rest"))).select(F.col("source").alias("of"), F.col("block").alias("b"), "epoch", "epoch_block", "before", "full", "rest", "total", "budget")
 
     visits = each.select("doc_id", "copy", "source", "n_tokens", "block").join(blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")))
     in_block = W.partitionBy("source", "block", "epoch").orderBy(_fraction(F.lit("place"), "source", "epoch", "doc_id", "copy"), "doc_id", "copy", "n_tokens")
     visits = visits.withColumn("place", F.row_number().over(in_block) - 1).withColumn("spent", F.col("before") + F.coalesce(F.sum("n_tokens").over(in_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = (F.col("epoch") < F.col("full")) | (F.col("spent") + F.col("n_tokens") <= F.col("rest")) & (F.col("n_tokens") > 0)
-    return visits.where(inside).select("doc_id", "copy", "source", "n_tokens", "epoch", "epoch_block", F.col("block").cast("long").alias("block"), "place")
+    # Where the visit stands in its source's budget, from 0 to 1: in this order the sources are mixed at every point as in the whole.
+    position = F.when(F.col("budget") > 0, (F.col("epoch") * F.col("total") + F.col("before")) / F.col("budget")).otherwise(0.0)
+    return visits.where(inside).select("doc_id", "copy", "source", "n_tokens", "epoch", "epoch_block", F.col("block").cast("long").alias("block"), "place", position.alias("position"))
 
 
 def word_tokens(text: str = "text") -> Column:
@@ -112,17 +122,37 @@ def word_tokens(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def mix_documents(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``docs`` as the mix holds them: every row at least once, and again for each further visit.
+MIX = ("mix_epoch", "mix_epoch_block", "mix_block", "mix_place", "mix_position")
+
 
-    Visits of rows that repeat id, source and count are shared out evenly by count, so each such row gets at least one."""
-    plan = mix_plan(docs.withColumn("_n", word_tokens()), "_n", target_entropy, max_epochs, block_tokens)
-    again = plan.where("epoch > 0").groupBy("doc_id", "source").agg(F.count("*").alias("visits"))
-    rows = docs.groupBy(F.col("doc_id"), F.col("source").cast("string").alias("source")).agg(F.count("*").alias("rows"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["source"].eqNullSafe(b["source"])
-    more = again.join(rows, same(again, rows)).select(again["doc_id"].alias("_id"), again["source"].alias("_source"), F.round(F.col("visits") / F.col("rows")).cast("int").alias("_again")).where("_again > 0")
-    repeated = docs.join(more, docs["doc_id"].eqNullSafe(more["_id"]) & docs["source"].eqNullSafe(more["_source"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_again"))))
-    return docs.unionByName(repeated.select(*docs.columns))
+def mix_documents(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``docs`` as the mix visits them: a row for each visit, with ``mix_epoch, mix_epoch_block, mix_block, mix_place, mix_position``.
+
+    Partitions follow each other in order of position (0 to 1, the part of its source's budget that comes before a block), and rows
+    stand block by block within them, in each block by place: written out, the table holds the mix in its order. Every row is
+    visited at least once. Columns of these names are replaced; a null source is one of its own, null and empty texts have no
+    tokens and stand once; rows that repeat id, source and token count are numbered by their texts and visited each; an empty
+    table gives an empty table."""
+    docs = docs.drop(*MIX)
+    rows = docs.withColumn("_tokens", word_tokens())
+    plan = mix_plan(rows, "_tokens", target_entropy, max_epochs, block_tokens)
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n_tokens").alias("_n"), F.col("copy").alias("_copy"), *[F.col(c[4:]).alias(c) for c in MIX])
+    # Only rows that repeat id, source and count need numbers.
+    same = ("_rid", "_rsource", "_tokens")
+    rows = rows.withColumn("_rid", F.col("doc_id").cast("long")).withColumn("_rsource", F.col("source").cast("string"))
+    repeated = rows.groupBy(*same).agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("_rid").alias("_ri"), F.col("_rsource").alias("_rs"), F.col("_tokens").alias("_rt"))
+    is_repeated = F.col("_rid").eqNullSafe(F.col("_ri")) & F.col("_rsource").eqNullSafe(F.col("_rs")) & (F.col("_tokens") == F.col("_rt"))
+    if repeated.isEmpty():
+        numbered = rows.withColumn("_nth", F.lit(1))
+    else:
+        number = F.row_number().over(W.partitionBy(*same).orderBy(F.xxhash64("text")))
+        numbered = rows.join(repeated, is_repeated, "left_anti").withColumn("_nth", F.lit(1)).unionByName(rows.join(repeated, is_repeated, "left_semi").withColumn("_nth", number))
+    here = F.col("_rid").eqNullSafe(F.col("_id")) & F.col("_rsource").eqNullSafe(F.col("_source")) & (F.col("_tokens") == F.col("_n")) & (F.col("_nth") == F.col("_copy"))
+    visits = numbered.join(plan, here)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("mix_position", "_source", "mix_epoch", "mix_epoch_block", "mix_place")
+    ordered = visits.repartitionById(parts, F.least(F.floor(F.col("mix_position") * parts), F.lit(parts - 1)).cast("int")).sortWithinPartitions(*order)
+    return ordered.select(*docs.columns, *MIX)
 
 
 _HASH = "CAST('0x' || md5(concat_ws(':', {}))[1:8] AS BIGINT)"
@@ -153,10 +183,11 @@ g AS (
   SELECT *, row_number() OVER o - 1 AS epoch_block, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM f WINDOW o AS (PARTITION BY source, epoch ORDER BY {_HASH.format("'order', coalesce(source, 'null'), epoch, block")}, block)
 ), v AS (
-  SELECT d.doc_id, d.copy, d.source, d.n_tokens, g.epoch, g.epoch_block, d.block, g.full_epochs, g.rest, row_number() OVER o - 1 AS place, g.before + coalesce(sum(d.n_tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
+  SELECT d.doc_id, d.copy, d.source, d.n_tokens, g.epoch, g.epoch_block, d.block, g.full_epochs, g.rest, g.total, g.budget, g.before, row_number() OVER o - 1 AS place, g.before + coalesce(sum(d.n_tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.block = g.block WHERE g.epoch < g.full_epochs OR g.before < g.rest
   WINDOW o AS (PARTITION BY d.source, d.block, g.epoch ORDER BY {_HASH.format("'place', coalesce(d.source, 'null'), g.epoch, coalesce(CAST(d.doc_id AS VARCHAR), 'null'), d.copy")}, d.doc_id, d.copy, d.n_tokens)
 )
-SELECT doc_id, CAST(copy AS INTEGER) AS copy, source, n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(epoch_block AS INTEGER) AS epoch_block, CAST(block AS BIGINT) AS block, CAST(place AS INTEGER) AS place
+SELECT doc_id, CAST(copy AS INTEGER) AS copy, source, n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(epoch_block AS INTEGER) AS epoch_block, CAST(block AS BIGINT) AS block, CAST(place AS INTEGER) AS place,
+  CASE WHEN budget > 0 THEN (epoch * total + before) / budget ELSE 0 END::DOUBLE AS position
 FROM v WHERE epoch < full_epochs OR spent + n_tokens <= rest AND n_tokens > 0
 """

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, shared_dir, utf8
+from .common import chunks, delete_at_exit, drop_folder, drop_materialized, materialize, shared_dir, utf8
 
 #: Bytes of a block.
 BLOCK_BYTES = 1 << 22
@@ -56,9 +56,12 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
 
     Each task writes files of its own, of new names, and only those of tasks that succeeded are returned, so a retried or lost
     task leaves at most a stray file. A null text is empty: its document is a lone separator. Ordinary text never gives the
-    separator id, whatever it holds. The order of the files is that of the scan; nothing is shuffled.
+    separator id, whatever it holds. The order of the files is that of the scan; nothing is shuffled. Without ``folder``, the files
+    lie in the shared folder until the application ends.
     """
-    folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    if folder is None:
+        folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+        delete_at_exit(docs.sparkSession, folder)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,17 @@ def scan_token_files(spark: SparkSession, files: DataFrame, end: int = END, widt
 
 
 def count_tokens(docs: DataFrame, block_bytes: int = BLOCK_BYTES, folder: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, start, ordinal`` of every row: its tokens, counted by a scan of the token files that its text was written to."""
+    """``doc_id, n_tokens, start, ordinal`` of every row: its tokens, counted by a scan of the token files that its text was written to.
+
+    The files stay if ``folder`` is given; else they go when they have been scanned."""
+    spark, own = docs.sparkSession, None
+    if folder is None:
+        own = folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+        delete_at_exit(spark, own)
     written = write_token_files(docs, folder)
-    found = scan_token_files(docs.sparkSession, written, block_bytes=block_bytes)
-    return written.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens", "start", "ordinal")
+    counted = materialize(scan_token_files(spark, written, block_bytes=block_bytes), "token-counts")
+    out = materialize(written.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "start", "ordinal"), "token-totals")
+    drop_materialized(written, counted)
+    if own:
+        drop_folder(spark, own)
+    return out

@@ -47,7 +47,13 @@ def test_plan(spark, block):
         if len(members) > 20 and max(p.epoch for p in own) > 1:
             assert orders[0] != orders[1]
     mixed = mixing.mix_documents(df, 0.99, 3.0, block).collect()
-    assert len(mixed) >= len(docs) and {d.doc_id for d in mixed} == {d.doc_id for d in docs}
+    key = lambda p, *more: (str(p.doc_id), str(p.source), *more)
+    assert sorted(key(p, p.mix_epoch, p.mix_epoch_block, p.mix_block, p.mix_place) for p in mixed) == sorted(key(p, p.epoch, p.epoch_block, p.block, p.place) for p in plan)
+    # The rows stand in the order of the mix: positions rise, and blocks of a source stand together.
+    assert [p.mix_position for p in mixed] == sorted(p.mix_position for p in mixed)
+    hot = [(p.mix_epoch, p.mix_epoch_block, p.mix_place) for p in mixed if p.source == "hot"]
+    assert hot == sorted(hot)
+    assert sorted(str((d.doc_id, d.source, d.text)) for d in docs) == sorted(str((p.doc_id, p.source, p.text)) for p in mixed if p.mix_epoch == 0)
 
 
 def test_empty(spark):
