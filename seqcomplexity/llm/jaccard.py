@@ -271,7 +271,8 @@ def _joins(nodes: list[int], size: np.ndarray, own: np.ndarray, part: np.ndarray
     """Links that join a group as far as similarities (with ``sets``) or else bounds do; pairs of one part or joined already are passed over."""
     _, first, of = np.unique(part, return_index=True, return_inverse=True)
     root = first[of]
-    tree = CountRTree(points.astype(np.int64), size) if points is not None and len(nodes) > 4 * PAGE else None
+    # Over few groups a tree prunes; over many, a scan of what isn't joined yet is cheaper.
+    tree = CountRTree(points.astype(np.int64), size) if points is not None and points.shape[1] <= GROUPS and len(nodes) > 4 * PAGE else None
     for i in range(1, len(nodes)):
         if tree is not None:
             near = np.sort(tree.query(points[i], size[i], num, den))
@@ -306,7 +307,12 @@ def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 def _folded(vectors: list[np.ndarray]) -> np.ndarray:
     """Count vectors over as many groups as the shortest has."""
     least = min(len(v) for v in vectors)
-    return np.stack([v.astype(np.int64) if len(v) == least else v.reshape(-1, least).sum(0, dtype=np.int64) for v in vectors])
+    return _narrow(np.stack([v if len(v) == least else v.reshape(-1, least).sum(0, dtype=np.uint32) for v in vectors]))
+
+
+def _narrow(points: np.ndarray) -> np.ndarray:
+    """Count vectors in 16-bit numbers, or in 32-bit ones where a count asks for them."""
+    return points.astype(np.uint16 if points.max(initial=0) < 1 << 16 else np.uint32)
 
 
 def family_links(unpack: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int, exact: bool = True):
@@ -334,7 +340,7 @@ def family_links(unpack: Callable[[list[bytes]], list[np.ndarray]], num: int, de
                             points = _folded(group)
                         elif e - s > 2:
                             groups = 1 << int(np.clip((int(size[s:e].max()) // 2).bit_length(), 6, 11))
-                            points = np.stack([np.bincount((x >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups) for x in group]).astype(np.uint32)
+                            points = _narrow(np.stack([np.bincount((x >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups) for x in group]))
                         found += _joins(nodes[s:e], size[s:e], own[s:e], part[s:e], points, group if exact else None, num, den)
                     done += 1
                 if bounds[done] > offset:
@@ -367,7 +373,7 @@ def pivot_links(unpack: Callable[[list[bytes]], list[np.ndarray]], num: int, den
                             if exact:
                                 met = _similar(one, other, num, den)
                             else:
-                                bound = int(np.minimum(*_folded([one, other])).sum())
+                                bound = int(np.minimum(*_folded([one, other])).sum(dtype=np.int64))
                                 met = bound * (num + den) >= num * (int(size[i]) + int(size[h]))
                             if met:
                                 found.append((family[i], node[i], node[h]))
@@ -527,7 +533,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     # Families: each round, every set names its nearest partner by the bound in another family, until none has one.
     found, families, nearest = [], None, None
     if not groups.isEmpty():
-        found.append(join_families(groups, points.select("node", "n", F.col("points").alias("packed")), TILE, coarse_points, num, den, exact=False))
+        found.append(join_families(groups, points.select("node", "n", F.col("points").alias("packed")), FINE_TILE, coarse_points, num, den, exact=False))
         families = _families(found[0])
     bucketed, members = members, members.select("key", "node")
     for _ in range(MAX_ROUNDS):
