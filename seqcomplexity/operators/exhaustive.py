@@ -74,8 +74,3 @@ def histogram(counts: DataFrame, max_complexity: int, column: str = "phrases") -
     binned = counts.groupBy(F.least(F.col(column), F.lit(max_complexity - 1)).cast("int").alias("complexity")).agg(F.count("*").alias("n_strings"))
     dense = counts.sparkSession.range(max_complexity).select(F.col("id").cast("int").alias("complexity"))
     return dense.join(binned, "complexity", "left").select("complexity", F.coalesce("n_strings", F.lit(0)).cast("long").alias("n_strings"))
-
-
-def int_to_bits(column: str, length: int):
-    """The big-endian binary string of an integer column."""
-    return F.lpad(F.bin(column), length, "0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import lz76_starts
@@ -32,8 +32,20 @@ def lz76_trace(strings: DataFrame, key: str, text: str = "s") -> DataFrame:
                 for k, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
                     count[a:b] = [k + 1] * (b - a)
                     done[b - 1] = b < len(s) or s.find(s[a:b], 0, b - 1) < 0
-                keys = pa.DictionaryArray.from_arrays(pa.array([0] * len(s), pa.int32()), batch.column(0).slice(i, 1)).cast(batch.column(0).type)
+                keys = batch.column(0).take(pa.array([i] * len(s)))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(range(len(s)), pa.int64()), pa.array(list(s)), pa.array(done), pa.array(count, pa.int32())], [key, "pos", "symbol", "completed", "n_phrases"])
 
     rows = strings.select(key, text)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, pos long, symbol string, completed boolean, n_phrases int")
+
+
+def lz76_trace_symbols(rows: DataFrame, key: str, symbol: str, order: list[str], initial_text: str = "") -> DataFrame:
+    """``key, segment, pos, symbol, completed, n_phrases``: the trace of symbols that arrive as rows, the batch form of the streaming operator.
+
+    A null symbol resets the key: a new segment (from 0) begins with an empty text. ``initial_text`` is what every key has seen
+    before its first symbol; it has no rows of its own, and positions count it."""
+    resets = F.sum(F.when(F.col(symbol).isNull(), 1).otherwise(0)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = rows.withColumn("_segment", resets.cast("long")).where(F.col(symbol).isNotNull()).withColumn("_part", F.struct(F.col(key).alias("key"), F.col("_segment").alias("segment")))
+    texts = symbol_strings(parts, "_part", symbol, order).withColumn("s", F.when(F.col("_part.segment") == 0, F.concat(F.lit(initial_text), "s")).otherwise(F.col("s")))
+    new = (F.col("_part.segment") > 0) | (F.col("pos") >= len(initial_text))
+    return lz76_trace(texts, "_part").where(new).select(F.col("_part.key").alias(key), F.col("_part.segment").alias("segment"), "pos", "symbol", "completed", "n_phrases")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures
@@ -19,6 +19,19 @@ def find_patterns(texts: DataFrame, patterns: DataFrame, key: str, text: str = "
     return patterns.join(texts.select(key, text), key).withColumn("found", contains_pattern(text, pattern)).drop(text)
 
 
+def find_so_far(rows: DataFrame, key: str, symbol: str, order: list[str], pattern: str) -> DataFrame:
+    """``rows`` with ``found``: whether ``pattern`` occurs in what the key's symbols spell up to and with the row.
+
+    The symbols of a key are joined once; a pattern is found from the row on at which its first occurrence ends. A null pattern
+    gives null, the empty one true; a null symbol adds nothing."""
+    at = [F.col(c) for c in order]
+    spelled = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*at, F.coalesce(F.col(symbol), F.lit("")).alias("_s")))), lambda r: r["_s"]), "").alias("_text"))
+    size = F.sum(F.char_length(F.coalesce(F.col(symbol), F.lit("")))).over(Window.partitionBy(key).orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.call_function("instr", F.col("_text"), F.col(pattern))
+    found = F.when(F.char_length(pattern) == 0, True).otherwise((first > 0) & (first - 1 + F.char_length(pattern) <= F.col("_size")))
+    return rows.withColumn("_size", size).join(spelled, key).withColumn("found", F.when(F.col(pattern).isNotNull(), found)).drop("_size", "_text")
+
+
 def with_terminator(text: Column | str, terminator: str = "$") -> Column:
     if len(terminator) != 1:
         raise ValueError("the terminator must be one symbol")
@@ -47,8 +60,9 @@ def block_counts(texts: DataFrame, key: str, k: int, text: str = "text") -> Data
     """``key, block, n``: overlapping windows of ``k`` symbols and their counts, with built-in functions only."""
     if k <= 0:
         raise ValueError("the block size must be a positive integer")
-    size = F.char_length(text) - k + 1
-    rows = texts.where(size > 0).select(key, F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.col(text).substr(i, F.lit(k)))).alias("block"))
+    # The text is split once, into an array bound to a name, as substrings of a text are found by walking it from its start.
+    windows = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - k + 1), lambda i: F.array_join(F.slice(a, i, k), ""))
+    rows = texts.where(F.char_length(text) >= k).select(key, F.explode(F.transform(F.array(F.split(text, "")), windows)[0]).alias("block"))
     return rows.groupBy(key, "block").agg(F.count("*").alias("n"))
 
 
@@ -60,10 +74,10 @@ def block_entropy_relational(texts: DataFrame, key: str, k: int, text: str = "te
 
 
 def conditional_pairs(x: DataFrame, y: DataFrame, key: str, algorithm: str = "lz76", x_col: str = "x", y_col: str = "y", empty: str = "zero", check: bool = True) -> DataFrame:
-    """``key, conditional``: y given x for tables paired by key. With ``check``, a key that stands in one table only raises."""
+    """``key, conditional``: y given x for tables paired by key. With ``check``, a key that stands in one table only fails the query."""
+    left, right = x.select(key, F.col(x_col), F.lit(True).alias("_x")), y.select(key, F.col(y_col), F.lit(True).alias("_y"))
+    pairs = left.join(right, key, "full" if check else "inner")
     if check:
-        lone = x.join(y, key, "left_anti").select(key).unionByName(y.join(x, key, "left_anti").select(key)).first()
-        if lone is not None:
-            raise ValueError(f"both sides must have the same keys; {lone[0]!r} has no partner")
-    pairs = x.select(key, x_col).join(y.select(key, y_col), key)
+        lone = F.raise_error(F.concat(F.lit("both sides must have the same keys; no partner for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+        pairs = pairs.where(F.when(F.col("_x") & F.col("_y"), F.lit(True)).otherwise(lone.cast("boolean")))
     return pairs.select(key, measures.process_conditional(x_col, y_col, algorithm, empty).alias("conditional"))

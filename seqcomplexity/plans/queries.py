@@ -191,6 +191,52 @@ def online_trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.lz76_trace(_event_strings(spark, sf_dir), "user_id")
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.substring("event_type", 1, 1).alias("letter"))
+
+
+def online_trace_initial_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The online parsing of each user's events after a text seen before."""
+    return online.lz76_trace_symbols(_events(spark, sf_dir), "user_id", "letter", ["ts", "event_id"], "cvcp").drop("segment")
+
+
+def online_trace_reset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The online parsing of each user's events, reset by every event whose id is divisible by 7."""
+    rows = _events(spark, sf_dir).withColumn("letter", F.when(F.col("event_id") % 7 != 0, F.col("letter")))
+    return online.lz76_trace_symbols(rows, "user_id", "letter", ["ts", "event_id"])
+
+
+def growing_find_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether, up to each event, the user has had two events of its kind in a row."""
+    rows = _events(spark, sf_dir).withColumn("pattern", F.repeat("letter", F.lit(2)))
+    return search.find_so_far(rows, "user_id", "letter", ["ts", "event_id"], "pattern").select("event_id", "user_id", "pattern", "found")
+
+
+def process_strings_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measure named by its algorithm and symmetry."""
+    named = [r6(M.process_strings("p_name", a, s), f"{a}_{'symmetric' if s else 'plain'}") for a in M.ALGORITHMS for s in (False, True)]
+    return table(spark, sf_dir, "part").select("p_partkey", *named)
+
+
+def conditional_identity_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments given names, each empty now and then, by the rule of identity."""
+    x = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name"))
+    y = F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", r6(M.conditional_lz76(x, y, "identity"), "lz76"), r6(M.conditional_lz78(x, y, "identity"), "lz78"))
+
+
+def exhaustive_counts_by_level_l13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exhaustive.exhaustive_counts_by_level(spark, 13)
+
+
+def shared_patterns_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set operations on phrases: LZ76 phrases of parts that are also LZ78 phrases, but no part's first word."""
+    rows = table(spark, sf_dir, "part")
+    lz76 = rows.select(F.explode(M.lz76_dictionary("p_name")).alias("phrase"))
+    lz78 = rows.select(F.explode(M.lz78_dictionary("p_name")).alias("phrase"))
+    return lz76.intersect(lz78).exceptAll(rows.select(F.substring_index("p_name", " ", 1).alias("phrase")).distinct())
+
+
 def event_sequence_lz76(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_strings(spark, sf_dir).select("user_id", F.char_length("s").alias("n_events"), r6(M.lz76("s"), "lz76"))
 
@@ -225,7 +271,7 @@ def sql_functions_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.random_strings(spark, 1000, 10, ("0", "1"), 7, 50).select("string_id", "s", M.lz76_phrases("s").alias("phrases"))
+    return generators.random_strings(spark, 1000, 10, ("0", "1"), 7, 50, "md5").select("string_id", "s", M.lz76_phrases("s").alias("phrases"))
 
 
 _BENCH = [(10000, 10, 1, 0.4, 0.6), (10000, 10, 8, 0.1, 0.2), (10000, 100, 1, 5.0, 10.0), (10000, 100, 8, 1.0, 2.0)]
@@ -248,6 +294,7 @@ def queries() -> dict[str, Query]:
     plain = (
         lz76_phrases_docs, lz76_phrases_expression_parts, lz76_dictionary_docs, lz76_dictionary_benchmark, lz78_dictionary_benchmark, lz78_mutual_benchmark, lz78_mutual_docs, conditional_customers, block_entropy_relational_k2_docs, block_counts_k2_urls,
         complexity_profile_docs, utf8_prefix_docs, exhaustive_counts_l10, exhaustive_counts_by_level_l12, exhaustive_distribution_l16, exhaustive_distribution_l10_overflow, histogram_parts, pattern_find_docs, distinct_substrings_nations, with_terminator_parts,
+        online_trace_initial_events, online_trace_reset_events, growing_find_events, process_strings_parts, conditional_identity_customers, exhaustive_counts_by_level_l13, shared_patterns_parts,
         online_trace_events, event_sequence_lz76, order_flags_lz76, complexity_by_lang, least_complex_topk, complexity_by_quality, sql_functions_parts, random_ensemble, bench_report, in_memory_pairs,
     )
     found |= {f.__name__: f for f in plain}
@@ -255,6 +302,11 @@ def queries() -> dict[str, Query]:
     return found
 
 
+_PAIRS = "SELECT * FROM (VALUES (0, '000', '000111'), (1, '111', '111000'), (2, 'cat', 'dog'), (3, '', 'nonempty'), (4, '10101', '01010')) v(id, x, y)"
+_DIGITS = "CAST('0x' || md5(concat_ws(':', {}))[1:8] AS BIGINT)"
+_ENSEMBLE = f"SELECT id, (SELECT string_agg(CASE {_DIGITS.format('7, id, i')} % 2 WHEN 0 THEN '0' ELSE '1' END, '' ORDER BY i) FROM range(1, 51) r(i) WHERE i <= 10 + {_DIGITS.format('8, id')} % 41) AS s FROM range(1000) t(id)"
+_RESETS = "SELECT user_id * 100000 + segment AS id, string_agg(letter, '' ORDER BY ts, event_id) AS s FROM (SELECT *, event_type[1:1] AS letter, CAST(sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS segment FROM events) WHERE event_id % 7 <> 0 GROUP BY ALL"
+_EMPTIES = "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS x, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS y FROM customer"
 _FLAGS = "SELECT l_orderkey AS id, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_returnflag) AS s FROM lineitem GROUP BY l_orderkey"
 
 
@@ -292,8 +344,18 @@ def oracle_sql() -> dict[str, str]:
         "complexity_by_quality": f"{d76} SELECT quality, toxic, count(*) AS n_docs, CAST(sum(phrases) AS BIGINT) AS phrases FROM c76 JOIN labels ON id = doc_id GROUP BY ALL",
         "sql_functions_parts": f"{parts}, e AS ({sql.block_entropy(_source('parts'), 'id', 'entropy', 2)}) SELECT id AS p_partkey, round(phrases * log2(n), 6) + 0.0 AS lz76, entropy, CAST(phrases AS INTEGER) AS phrases FROM c76 JOIN e USING (id)",
         "flagship_lz76_by_lang": f"{d76} SELECT lang, count(*) AS n_docs, round(avg(phrases * log2(n)), 6) + 0.0 AS avg_lz76, round(avg(phrases * log2(n) / greatest(n, 1)), 6) + 0.0 AS avg_density FROM c76 JOIN documents ON id = doc_id GROUP BY lang",
-        "bench_report": "SELECT * FROM (VALUES (CAST(10000 AS BIGINT), 10, 8, 4.0::DOUBLE, 100000.0::DOUBLE, 50000.0::DOUBLE), (CAST(10000 AS BIGINT), 100, 8, 5.0::DOUBLE, 10000.0::DOUBLE, 5000.0::DOUBLE)) v(n_strings, string_length, best_threads, best_speedup, best_rate, best_symmetric_rate)",
-        "in_memory_pairs": sql.conditional("SELECT * FROM (VALUES (0, '000', '000111'), (1, '111', '111000'), (2, 'cat', 'dog'), (3, '', 'nonempty'), (4, '10101', '01010')) v(id, x, y)", "pair_id", "lz76", "lz76").replace("SELECT id AS pair_id", "SELECT CAST(id AS BIGINT) AS pair_id")
-        .replace(" FROM c76_xy JOIN c76_x USING (id)", ", CASE id WHEN 3 THEN 7.0 WHEN 4 THEN 2.0 ELSE 3.0 END::DOUBLE AS lz78 FROM c76_xy JOIN c76_x USING (id)"),
+        "bench_report": f"SELECT n_strings, string_length, arg_max(n_threads, speedup) AS best_threads, round(max(speedup), 6) + 0.0 AS best_speedup, round(max(n_strings / regular_time), 6) + 0.0 AS best_rate, round(max(n_strings / symmetric_time), 6) + 0.0 AS best_symmetric_rate FROM (SELECT *, max(CASE WHEN n_threads = 1 THEN regular_time END) OVER (PARTITION BY n_strings, string_length) / regular_time AS speedup FROM (SELECT CAST(a AS BIGINT) AS n_strings, b AS string_length, c AS n_threads, CAST(d AS DOUBLE) AS regular_time, CAST(e AS DOUBLE) AS symmetric_time FROM (VALUES {', '.join(map(str, _BENCH))}) v(a, b, c, d, e))) GROUP BY ALL",
+        "in_memory_pairs": f"SELECT CAST(pair_id AS BIGINT) AS pair_id, lz76, lz78 FROM ({sql.conditional(_PAIRS, 'pair_id', 'lz76', 'lz76')}) JOIN ({sql.conditional(_PAIRS, 'pair_id', 'lz78', 'lz78')}) USING (pair_id)",
+        "random_ensemble": f"WITH RECURSIVE {sql.lz76(_ENSEMBLE)} SELECT CAST(id AS BIGINT) AS string_id, s, CAST(phrases AS INTEGER) AS phrases FROM c76 JOIN src USING (id)",
+        "online_trace_initial_events": f"""WITH RECURSIVE {sql.lz76(f"SELECT id, 'cvcp' || s AS s FROM ({events})")} SELECT a.id AS user_id, CAST(a.j - 1 AS BIGINT) AS pos, substring(s, a.j, 1) AS symbol, b.closed > a.closed AS completed, CAST(b.closed + CASE WHEN b.start <= a.j THEN 1 ELSE 0 END AS INTEGER) AS n_phrases
+          FROM run a JOIN run b ON a.id = b.id AND b.j = a.j + 1 JOIN src ON src.id = a.id WHERE a.j > 4""",
+        "online_trace_reset_events": f"""WITH RECURSIVE {sql.lz76(_RESETS)} SELECT a.id // 100000 AS user_id, a.id % 100000 AS segment, CAST(a.j - 1 AS BIGINT) AS pos, substring(s, a.j, 1) AS symbol, b.closed > a.closed AS completed, CAST(b.closed + CASE WHEN b.start <= a.j THEN 1 ELSE 0 END AS INTEGER) AS n_phrases
+          FROM run a JOIN run b ON a.id = b.id AND b.j = a.j + 1 JOIN src ON src.id = a.id""",
+        "growing_find_events": "SELECT event_id, user_id, pattern, contains(spelled, pattern) AS found FROM (SELECT event_id, user_id, repeat(event_type[1:1], 2) AS pattern, string_agg(event_type[1:1], '') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spelled FROM events)",
+        "process_strings_parts": "SELECT * FROM " + " JOIN ".join(f"({sql.measure(_source('parts'), 'p_partkey', f'{a}_{n}', a, n == 'symmetric')}) {a}{n}" + ("" if (a, n) == ("lz76", "plain") else " USING (p_partkey)") for a in M.ALGORITHMS for n in ("plain", "symmetric")),
+        "conditional_identity_customers": f"SELECT * FROM ({sql.conditional_identity(_EMPTIES, 'c_custkey', 'lz76', 'lz76')}) JOIN ({sql.conditional_identity(_EMPTIES, 'c_custkey', 'lz78', 'lz78')}) USING (c_custkey)",
+        "exhaustive_counts_by_level_l13": f"WITH RECURSIVE {sql.exhaustive(13)} SELECT row_number() OVER (ORDER BY bits) - 1 AS idx, bits, phrases FROM counts",
+        "shared_patterns_parts": f"""WITH RECURSIVE {sql.lz76(_source('parts'))}, {sql.lz78(_source('parts'))}, a AS (SELECT id, start, max(j) AS last FROM run JOIN src USING (id) WHERE j <= length(s) GROUP BY ALL), w AS (SELECT CASE WHEN open IS NULL THEN known ELSE list_append(known, open) END AS words FROM c78)
+          SELECT substring(s, start, last - start + 1) AS phrase FROM a JOIN src USING (id) INTERSECT SELECT unnest(words) FROM w EXCEPT SELECT split_part(p_name, ' ', 1) FROM part""",
     }
     return found

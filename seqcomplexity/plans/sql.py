@@ -24,11 +24,6 @@ def lz76(source: str, tag: str = "") -> str:
     c76{tag} AS (SELECT r.id, length(s) AS n, closed + CASE WHEN start <= length(s) THEN 1 ELSE 0 END AS phrases FROM run{tag} r JOIN src{tag} USING (id) WHERE j = length(s) + 1)"""
 
 
-def lz76_rows(source: str) -> str:
-    """Ends in ``trace(id, j, start, closed)``: the parser after every symbol; ``start`` and ``closed`` as after symbol j - 1."""
-    return lz76(source)
-
-
 def lz78(source: str, tag: str = "") -> str:
     """Common table expressions ending in ``c78{tag}(id, n, phrases)``."""
     return f"""
@@ -63,6 +58,15 @@ def conditional(pairs: str, key: str, name: str, algorithm: str) -> str:
     )
 
 
+def conditional_identity(pairs: str, key: str, name: str, algorithm: str) -> str:
+    """``conditional`` where an empty x gives y's own complexity and an empty y gives 0."""
+    cte, table, value = (lz76, "c76", "{t}.phrases * log2(greatest({t}.n, 1))") if algorithm == "lz76" else (lz78, "c78", "CAST({t}.phrases AS DOUBLE)")
+    return (
+        f"WITH RECURSIVE {cte(f'SELECT id, x || y AS s FROM ({pairs})', '_xy')}, {cte(f'SELECT id, x AS s FROM ({pairs})', '_x')} SELECT id AS {key}, "
+        f"round(CASE WHEN {table}_xy.n = {table}_x.n THEN 0 ELSE {value.format(t=table + '_xy')} - {value.format(t=table + '_x')} END, 6) + 0.0 AS {name} FROM {table}_xy JOIN {table}_x USING (id)"
+    )
+
+
 def block_counts(source: str, k: int) -> str:
     return f"SELECT id, substring(s, i, {k}) AS block, count(*) AS n FROM (SELECT id, s, unnest(range(1, length(s) - {k} + 2)) AS i FROM ({source})) GROUP BY ALL"
 

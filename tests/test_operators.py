@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -8,7 +9,7 @@ from seqcomplexity import kernels
 from seqcomplexity.operators import exhaustive, generators, online, search
 from seqcomplexity.plans import report
 from seqcomplexity.sources import strings
-from seqcomplexity.streaming.online import OnlineLZ76, lz76_online
+from seqcomplexity.streaming.online import OnlineLZ76, find_online, lz76_online
 
 DISTRIBUTIONS = {1: {1: 2}, 2: {2: 4}, 3: {2: 4, 3: 4}, 4: {2: 4, 3: 12}, 5: {2: 4, 3: 20, 4: 8}, 8: {2: 4, 3: 60, 4: 152, 5: 40}, 10: {2: 4, 3: 96, 4: 476, 5: 432, 6: 16}, 16: {2: 4, 3: 252, 4: 4284, 5: 23280, 6: 31836, 7: 5872, 8: 8}}
 
@@ -61,8 +62,9 @@ def test_conditional_pairs(spark):
     x = spark.createDataFrame([(1, "cat"), (2, "0")], "k long, x string")
     y = spark.createDataFrame([(1, "dog"), (2, "nonempty")], "k long, y string")
     assert {r.k: round(r.conditional, 4) for r in search.conditional_pairs(x, y, "k").collect()} == {1: 10.7549, 2: 25.3594}
-    with pytest.raises(ValueError):
-        search.conditional_pairs(x, y.limit(1), "k")
+    with pytest.raises(Exception, match="same keys"):
+        search.conditional_pairs(x, y.limit(1), "k").collect()
+    assert search.conditional_pairs(x, y.limit(1), "k", check=False).count() == 1
 
 
 def test_random_strings(spark):
@@ -122,6 +124,56 @@ def test_stream_equals_batch(spark, tmp_path):
     assert max(r.late for r in spark.table("online_test").where("key = 'p'").collect()) >= 1
 
 
+def run_stream(spark, tmp_path, name, schema, batches, make):
+    """What a streaming operator gives over micro-batches of rows."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(0.01)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).collect()
+
+
+def test_stream_start_reset_and_null_order(spark, tmp_path):
+    """A stream that starts from a text, is reset by a null symbol, and meets null and repeated orders, equals the batch trace."""
+    schema = "k string, at long, c string"
+    batches = [[("p", 1, "a"), ("p", 2, "b"), ("p", None, "x")], [("p", 3, None), ("p", 4, "a"), ("p", 4, "z"), ("p", 2, "z")], [("p", 2**53 + 1, "a"), ("p", 2**53, "b")]]
+    got = run_stream(spark, tmp_path, "online_reset", schema, batches, lambda s: lz76_online(s, "k", "c", "at", initial_text="ab"))
+    rows = spark.createDataFrame([("p", 1, "a"), ("p", 2, "b"), ("p", 3, None), ("p", 4, "a"), ("p", 5, "b"), ("p", 6, "a")], schema)
+    want = online.lz76_trace_symbols(rows, "k", "c", ["at"], "ab").orderBy("segment", "pos").collect()
+    assert [(r.pos, r.symbol, r.completed, r.n_phrases) for r in sorted(got, key=lambda r: (r.late, r.pos))] == [(r.pos, r.symbol, r.completed, r.n_phrases) for r in want]
+    assert max(r.late for r in got) == 3
+    assert [r.text for r in sorted(got, key=lambda r: r.pos) if r.late == 1] == ["a", "ab"]
+
+
+def test_find_over_a_growing_text(spark, tmp_path):
+    batches = [[("p", 1, "b", "ab"), ("p", 2, "a", "ba"), ("q", 1, None, "")], [("p", 4, "n", "aban"), ("p", 3, "n", "ban"), ("p", None, "b", "x"), ("q", 2, "x", "xa")], [("p", 5, None, "nn"), ("p", 6, "c", None), ("p", 7, None, "nnc")]]
+    rows = run_stream(spark, tmp_path, "find_test", "k string, at long, c string, p string", batches, lambda s: find_online(s, "k", "c", "at", "p", "a"))
+    assert sorted((r.key, r["at"], r.found, r.text_len) for r in rows) == [("p", 1, True, 2), ("p", 2, True, 3), ("p", 3, False, 4), ("p", 4, False, 5), ("p", 5, True, 5), ("p", 7, True, 6), ("q", 1, True, 1), ("q", 2, False, 2)]
+    batch = spark.createDataFrame([("p", i, c, p) for i, (c, p) in enumerate([("b", "ba"), ("a", "ba"), (None, "nab"), ("n", None), ("a", "ana"), ("n", "")])], "k string, at long, c string, p string")
+    assert [r.found for r in search.find_so_far(batch, "k", "c", ["at"], "p").orderBy("at").collect()] == [False, True, False, None, True, True]
+
+
+def test_linear_time(spark):
+    """Twice the length takes about twice the time: block counts of a long text, and the online parser."""
+    took = []
+    for n in (150_000, 300_000):
+        df = spark.createDataFrame([(1, "é1" * (n // 2))], "k long, text string")
+        search.block_counts(df, "k", 3).collect()
+        begin = time.perf_counter()
+        assert {r.block: r.n for r in search.block_counts(df, "k", 3).collect()} == {"é1é": n // 2 - 1, "1é1": n // 2 - 1}
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 2.5 * took[0] + 0.5
+    took = []
+    for n in (100_000, 200_000):
+        begin = time.perf_counter()
+        parser = OnlineLZ76.of("ab" * (n // 2))
+        took.append(time.perf_counter() - begin)
+        assert parser.n_phrases == 3
+    assert took[1] < 2.5 * took[0] + 0.1
+
+
 def test_sources_and_report(spark, tmp_path):
     df = strings.from_strings(spark, ["", None, "ab"])
     assert [tuple(r) for r in df.orderBy("string_id").collect()] == [(0, ""), (1, None), (2, "ab")]
