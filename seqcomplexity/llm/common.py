@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -67,36 +67,65 @@ def drop_materialized(*tables: DataFrame | None) -> None:
             drop_folder(df.sparkSession, path)
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find on links held in memory: the sorted ids, and for each the place of the smallest id that links reach."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return nodes, root
+        np.minimum.at(root, high, low)
+        while (further := root[root]).tobytes() != root.tobytes():
+            root = further
+
+
+def _trees(keyed: bool):
+    """From links ``node, f`` of a partition, each node with the smallest that they reach; the smallest stands with itself.
+
+    If ``keyed``, all links of a node as ``node`` are here: a row for each of these. The others get a row, marked ``open``, unless they are smallest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        own, other = (np.concatenate(c) for c in zip(*held))
+        nodes, root = forest(own, other)
+        home = np.isin(nodes, own)
+        told = np.flatnonzero(home | (root != np.arange(len(nodes)))) if keyed else np.arange(len(nodes))
+        for at in range(0, len(told), 1 << 16):
+            part = told[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]]), pa.array(~home[part])], ["node", "f", "open"])
+
+    return run
+
+
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
-    """Distributed union-find: nodes point at smaller nodes, and pointers are hooked and halved until nothing changes.
+    """Distributed union-find: tasks join the links they hold to trees, and pointers across tasks are halved until nothing changes.
 
     ``edges`` holds undirected links between long ids. Returns ``(node, component)`` with ``component`` the smallest id
-    reachable, for every id that has a link. A round passes each node's pointer's pointer along its links and takes the
-    least for the node and for what it points at; their number grows with the logarithm of the longest path. Links with a
-    null end and self links are ignored; no links give an empty table.
+    reachable, for every id that has a link. Links with a null end and self links are ignored; no links give an empty table.
 
-    A node with a large part of all links meets in no single task: minima are taken before the shuffle, too, and in each join one
-    side has unique keys and both come straight from a shuffle, so adaptive execution splits large partitions.
+    A round deals the links by their larger node, joins those of a task by union-find in memory, and points each node at its
+    pointer's pointer. Tasks join their links before the deal, too, so a node comes once from a task and one with a
+    large part of all links meets in no single task; in the join after, one side has unique keys and both come straight from
+    a shuffle, so adaptive execution splits large partitions. No round parts what links join: a node stays joined to
+    smaller ones, and these to theirs.
     """
-    links = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
-    links = materialize(links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    point = materialize(links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("f")), "pointers")
-    for _ in range(0 if links.isEmpty() else max_rounds):
-        grand = point.join(point.select(F.col("node").alias("f"), F.col("f").alias("g")), "f").select("node", "f", "g")
-        near = links.join(grand.select(F.col("node").alias("v"), "g"), "v").groupBy(F.col("u").alias("node")).agg(F.min("g").alias("m"))
-        seen = grand.join(near, "node").withColumn("m", F.least("g", "m"))
-        told = seen.select("node", F.least("f", "m").alias("to"), "f", "g").unionByName(seen.where("m < f").select(F.col("f").alias("node"), F.col("m").alias("to")), allowMissingColumns=True)
-        after = told.groupBy("node").agg(F.min("to").alias("to"), F.max("f").alias("f"), F.max("g").alias("g"))
-        watch = Observation()
-        after = materialize(after.observe(watch, F.count_if((F.col("to") != F.col("f")) | (F.col("f") != F.col("g"))).alias("moved")).select("node", F.col("to").alias("f")), "pointers")
-        drop_materialized(point)
-        point = after
-        if not watch.get["moved"]:
+    ends = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
+    links, point, shape = ends.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("f")), None, "node long, f long, open boolean"
+    for _ in range(max_rounds):
+        near = links.mapInArrow(_trees(False), shape).select("node", "f")
+        trees = materialize(near.repartition("node").mapInArrow(_trees(True), shape), "trees")
+        further = trees.where("not open").select(F.col("node").alias("f"), F.col("f").alias("g"))
+        after = trees.join(further, "f").select("node", F.col("g").alias("f"), (F.col("open") | (F.col("f") != F.col("g"))).alias("open"))
+        after = materialize(after, "pointers")
+        drop_materialized(point, trees)
+        point, links = after, after.select("node", "f")
+        if after.where("open").isEmpty():
             break
     else:
-        if not links.isEmpty():
-            raise RuntimeError("components did not settle")
-    drop_materialized(links)
+        raise RuntimeError("components did not settle")
     out = point.select("node", F.col("f").alias("component"))
     out.materialized_path = point.materialized_path
     return out

@@ -411,7 +411,7 @@ def join_families(families: DataFrame, packed: DataFrame, tile: int, unpack: Cal
             rows = rows.repartition("family", "salt").sortWithinPartitions("family", "salt")
             found.append(materialize(rows.mapInArrow(pivot_links(unpack, num, den, exact), "family long, a long, b long"), "pivots"))
             left = left.join(found[-1].select("family", F.col("a").alias("node")).distinct(), ["family", "node"], "left_anti")
-            if left.isEmpty():
+            if k + 1 == PIVOT_ROUNDS or left.isEmpty():
                 break
         links = found[0]
         for more in found[1:]:

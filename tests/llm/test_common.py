@@ -1,6 +1,8 @@
+import random
 from pathlib import Path
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from seqcomplexity.llm import common, tokencount
@@ -29,3 +31,43 @@ def test_token_files_are_deleted(spark):
     before = set(root.glob("tokens-*"))
     assert tokencount.count_tokens(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).count() == 1
     assert set(root.glob("tokens-*")) == before
+
+
+def _least_reachable(links):
+    near: dict[int, set[int]] = {}
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    found = {}
+    for start in sorted(near):
+        todo = [] if start in found else [start]
+        while todo:
+            x = todo.pop()
+            if x not in found:
+                found[x] = start
+                todo += near[x]
+    return found
+
+
+def test_forest_names_the_smallest():
+    nodes, root = common.forest(np.array([5, 9, -2, 7]), np.array([9, 7, -8, 7]))
+    assert dict(zip(nodes.tolist(), nodes[root].tolist())) == {5: 5, 7: 5, 9: 5, -2: -8, -8: -8}
+
+
+@pytest.mark.parametrize("kind", ["path", "shuffled path", "star", "random", "grid", "empty"])
+def test_components_over_many_partitions(spark, kind):
+    draw, n = random.Random(5), 400
+    names = draw.sample(range(-(10**12), 10**12), n)
+    if kind == "path":
+        names = sorted(names)
+    links = {
+        "path": list(zip(names, names[1:])), "shuffled path": list(zip(names, names[1:])), "star": [(names[7], x) for x in names],
+        "random": [(draw.choice(names), draw.choice(names)) for _ in range(n // 2)], "grid": [(names[i], names[i + d]) for i in range(n) for d in (1, 20) if i + d < n and (d > 1 or (i + 1) % 20)], "empty": [],
+    }[kind]
+    links += [(None, 3), (4, None), (None, None), (6, 6), *links[:3]]
+    draw.shuffle(links)
+    edges = spark.createDataFrame(links, "x long, y long").repartition(37)
+    found = common.connected_components(edges, "x", "y").collect()
+    assert len(found) == len({r.node for r in found})
+    assert {r.node: r.component for r in found} == _least_reachable(links)
