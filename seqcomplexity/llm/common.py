@@ -81,23 +81,13 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = further
 
 
-def _trees(keyed: bool):
-    """From links ``node, f`` of a partition, each node with the smallest that they reach; the smallest stands with itself.
-
-    If ``keyed``, all links of a node as ``node`` are here: a row for each of these. The others get a row, marked ``open``, unless they are smallest."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not held:
-            return
-        own, other = (np.concatenate(c) for c in zip(*held))
-        nodes, root = forest(own, other)
-        home = np.isin(nodes, own)
-        told = np.flatnonzero(home | (root != np.arange(len(nodes)))) if keyed else np.arange(len(nodes))
-        for at in range(0, len(told), 1 << 16):
-            part = told[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]]), pa.array(~home[part])], ["node", "f", "open"])
-
-    return run
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From links ``node, f`` of a partition, each node with the smallest that they reach; the smallest stands with itself."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        nodes, root = forest(*(np.concatenate(c) for c in zip(*held)))
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at:at + (1 << 16)]), pa.array(nodes[root[at:at + (1 << 16)]])], ["node", "f"])
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -106,17 +96,18 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     ``edges`` holds undirected links between long ids. Returns ``(node, component)`` with ``component`` the smallest id
     reachable, for every id that has a link. Links with a null end and self links are ignored; no links give an empty table.
 
-    A round deals the links by their larger node, joins those of a task by union-find in memory, and points each node at its
-    pointer's pointer. Tasks join their links before the deal, too, so a node comes once from a task and one with a
-    large part of all links meets in no single task; in the join after, one side has unique keys and both come straight from
-    a shuffle, so adaptive execution splits large partitions. No round parts what links join: a node stays joined to
-    smaller ones, and these to theirs.
+    A round joins the links of each task by union-find in memory, brings a node's pointers together (one from a task at most, so a
+    node with a large part of all links meets in no single task), keeps the least, links the others to it, and points each
+    node at its pointer's pointer. In that join one side has unique keys and both come straight from a shuffle, so adaptive
+    execution splits large partitions. No round parts what links join: a node stays joined to smaller ones, and these to theirs.
     """
     ends = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
-    links, point, shape = ends.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("f")), None, "node long, f long, open boolean"
+    links, point = ends.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("f")), None
     for _ in range(max_rounds):
-        near = links.mapInArrow(_trees(False), shape).select("node", "f")
-        trees = materialize(near.repartition("node").mapInArrow(_trees(True), shape), "trees")
+        near = links.mapInArrow(_trees, "node long, f long").groupBy("node").agg(F.min("f").alias("least"), F.collect_set("f").alias("all"))
+        own = F.array(F.struct("node", F.col("least").alias("f"), F.lit(False).alias("open")))
+        others = F.transform(F.filter("all", lambda f: (f != F.col("least")) & (f != F.col("node"))), lambda f: F.struct(f.alias("node"), F.col("least").alias("f"), F.lit(True).alias("open")))
+        trees = materialize(near.select(F.inline(F.concat(own, others))), "trees")
         further = trees.where("not open").select(F.col("node").alias("f"), F.col("f").alias("g"))
         after = trees.join(further, "f").select("node", F.col("g").alias("f"), (F.col("open") | (F.col("f") != F.col("g"))).alias("open"))
         after = materialize(after, "pointers")
