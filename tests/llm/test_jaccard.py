@@ -128,3 +128,29 @@ def test_tree_loses_nothing():
         bound = np.minimum(points, points[i]).sum(1)
         need = (bound * 185 >= 85 * (sizes + sizes[i])) & (sizes * 100 >= 85 * sizes[i]) & (sizes * 85 <= 100 * sizes[i])
         assert sorted(tree.query(points[i], sizes[i], 85, 100)) == np.flatnonzero(need).tolist()
+
+
+def test_rare_members_rule_out_far_copies():
+    """Copies that each change a tenth of a text are too far from each other: no pair of them passes the bound, none that is near goes."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+    fresh = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    pool = fresh(3000)
+    far = [np.unique(np.concatenate([base[rng.permutation(600)[:510]], rng.choice(pool, 45), fresh(45)])) for _ in range(150)]
+    near = [np.unique(np.concatenate([base[rng.permutation(600)[:580]], rng.choice(pool, 20)])) for _ in range(60)]
+    sets = far + near + [np.unique(np.concatenate([x[:-9], fresh(9)])) for x in far[:10]]
+    frequent, i, j, shared = jaccard.rare_overlaps(sets)
+    listed = {(a, b): n for a, b, n in zip(i.tolist(), j.tolist(), shared.tolist())}
+    assert (i > j).all() and len(listed) == len(i) and (np.diff(i) >= 0).all()
+    passed = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            met = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            bound = min(frequent[a], frequent[b]) + listed.get((a, b), 0)
+            assert met <= bound
+            passed += bound * 9 >= 4 * (len(sets[a]) + len(sets[b])) and a < 150
+    assert passed < 0.02 * 150 * 149 / 2
+    size, n = np.array([len(x) for x in sets]), len(sets)
+    points = np.stack([np.bincount((x >> np.uint64(20)).astype(np.int64) & 255, minlength=256) for x in sets])
+    links = lambda rare: list(jaccard._joins(list(range(n)), size, np.ones(n, bool), np.arange(n), points, sets, 4, 5, rare))
+    assert links((frequent, i, j, shared)) == links(None) != []
