@@ -71,3 +71,16 @@ def test_components_over_many_partitions(spark, kind):
     found = common.connected_components(edges, "x", "y").collect()
     assert len(found) == len({r.node for r in found})
     assert {r.node: r.component for r in found} == _least_reachable(links)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 21])
+def test_few_links_need_no_rounds(spark, monkeypatch, few):
+    """A long path: one task joins it without rounds, or else rounds over tasks do, with the same components."""
+    monkeypatch.setattr(common, "FEW_LINKS", few)
+    wrote, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: wrote.append(name) or write(df, name))
+    names = random.Random(3).sample(range(-(10**12), 10**12), 300)
+    links = [*zip(names, names[1:]), (None, 3), (6, 6)]
+    found = common.connected_components(spark.createDataFrame(links, "x long, y long").repartition(23), "x", "y").collect()
+    assert len(found) == 300 and {r.node: r.component for r in found} == _least_reachable(links)
+    assert len(wrote) > 2 if not few else wrote == ["pointers"]
