@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from .common import chunks, utf8
+from .common import chunks, lean, small_batches, utf8
 
 #: Code points outside these ranges may be classed differently by the two pattern engines' Unicode versions.
 _UNSURE = regex.compile("[^\x00-՗ऀ-௿฀-໿Ḁ-ⁿ₠-₿℀-↋←-⏿─-⯿　-〿ぁ-ゖ゛-ヿ㐀-鿼가-힣！-￮]")
@@ -254,6 +254,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
     Arrow batch, one document and a cache of bounded size.
     """
     path = tokenizer or tokenizer_path()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
@@ -284,7 +285,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"), *carry)
     made = T.StructType.fromDDL("doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
-    return rows.mapInArrow(run, T.StructType([*made.fields, *[docs.schema[c] for c in carry]]))
+    return rows.mapInArrow(lean(run), T.StructType([*made.fields, *[docs.schema[c] for c in carry]]))
 
 
 def _whole(raw: bytes) -> int:

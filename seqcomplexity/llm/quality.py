@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import M1, M2, chunks, drawn_rows, flat_bytes, utf8
+from .common import M1, M2, chunks, drawn_rows, flat_bytes, lean, small_batches, utf8
 from .jaccard import word_bounds, word_hashes
 
 #: Hashed features.
@@ -189,6 +189,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     These are drawn by a hash of id and text, so ids may repeat or be null; null texts count as empty ones. No rows give a scorer
     that knows nothing (0.5 for every text)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             code, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["pattern", "n"])
 
-    counted = sorted(rows.mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect())
+    counted = sorted(rows.mapInArrow(lean(patterns), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect())
     codes, counts = (np.array([r[k] for r in counted], np.int64) for k in (0, 1))
     labels = LabelModel.fit(codes, counts)
 
@@ -209,7 +210,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pattern_codes(votes(stats))), pa.ListArray.from_arrays(at, pa.array(index, pa.int32())), pa.ListArray.from_arrays(at, pa.array(value, pa.float32()))], ["doc_id", "pattern", "at", "value"])
 
     drawn = drawn_rows(rows, F.xxhash64("doc_id", "text"), fit_rows, int(counts.sum()), ["doc_id", "text"])
-    found = drawn.mapInArrow(sample, "doc_id long, pattern long, at array<int>, value array<float>").toArrow()
+    found = drawn.mapInArrow(lean(sample), "doc_id long, pattern long, at array<int>, value array<float>").toArrow()
     if not found.num_rows:
         return QualityModel(labels, Scorer(np.zeros(DIMENSIONS), 0.0))
     at, value = (found[c].combine_chunks() for c in ("at", "value"))
@@ -232,6 +233,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None = None, text_col:
     """
     names = ("quality_score", "weak_label", "quality_keep")
     docs = docs.drop(*names)
+    small_batches(docs.sparkSession)
     model = model or fit_quality(docs, text_col=text_col, fit_rows=fit_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -247,4 +249,4 @@ def score_quality(docs: DataFrame, model: QualityModel | None = None, text_col:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(weak), pa.array(score >= THRESHOLD)], [*part.schema.names, *names])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

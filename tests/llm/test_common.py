@@ -1,11 +1,13 @@
 import random
+import re
 from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from seqcomplexity.llm import common, tokencount
+from seqcomplexity.llm import bpe, common, quality, tokencount
 
 
 def test_shared_folder_must_be_named_off_local_masters():
@@ -33,6 +35,48 @@ def test_token_files_are_deleted(spark):
     assert set(root.glob("tokens-*")) == before
 
 
+@pytest.mark.parametrize("operator", [lambda docs: common.materialize(docs.limit(1), "one"), lambda docs: quality.score_quality(docs.limit(1)), bpe.encode_documents])
+def test_long_texts_reach_python_in_small_batches(spark, operator):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(2000, numPartitions=1).selectExpr("id as doc_id", "repeat(char(97 + id % 26), 10000) as text")
+    spark.conf.unset(common._BATCH_SETTING)
+    operator(docs)
+    found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 20_000_000 and max(found) < 1.5 * common.BATCH_BYTES
+    spark.conf.set(common._BATCH_SETTING, "30000000")
+    operator(docs)
+    assert spark.conf.get(common._BATCH_SETTING) == "30000000"
+    spark.conf.unset(common._BATCH_SETTING)
+
+
+def _own_mb():
+    return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+
+def test_worker_gives_memory_back_after_a_task():
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            held = [np.ones(12_000) for _ in range(2000)]
+            pins.append(np.ones(12_000))  # above the rest, so that nothing goes back by itself
+            yield batch
+            del held
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["n"])
+    before = _own_mb()
+    during = [_own_mb() for _ in common.lean(run)(iter([batch]))]
+    assert during[0] - before > 150 and _own_mb() - before < 40
+    before = _own_mb()
+    stopped = common.lean(run)(iter([batch, batch]))
+    next(stopped)
+    stopped.close()  # a task that is ended early
+    assert _own_mb() - before < 40
+
+
 def _least_reachable(links):
     near: dict[int, set[int]] = {}
     for a, b in links:
